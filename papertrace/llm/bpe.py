@@ -26,11 +26,11 @@ from .common import ready, text_of
 
 _END = "</w>"
 #: Words kept with their tokens per worker, a memo only; beyond it the memo starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 #: Characters on which all Unicode versions agree; texts with others are split by the vocabulary's own rules.
 _SETTLED = re.compile("[^\\x00-\u024f\u2010-\u2027\u20ac]").search
 #: Characters of text that are tokenised at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -40,6 +40,21 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+_named: dict[str, np.ndarray] = {}
+
+
+def token_names(path: str) -> np.ndarray:
+    """The name of each id; all that decoding needs of a vocabulary."""
+    if path not in _named:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        out = np.array([""] * (max(ids.values()) + 1), dtype=object)
+        out[list(ids.values())] = list(ids)
+        _named[path] = out
+    return _named[path]
+
+
 class WordBpe:
     """A vocabulary with word ends (end_of_word_suffix), lower case and a split pattern."""
 
@@ -49,12 +64,8 @@ class WordBpe:
         model = spec["model"]
         assert model["type"] == "BPE" and model["end_of_word_suffix"] == _END and not model["unk_token"], "a BPE with word ends is expected"
         self.vocab: dict[str, int] = model["vocab"]
-        self.names = np.array([""] * (max([*self.vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1), dtype=object)
-        for k, v in self.vocab.items():
-            self.names[v] = k
+        self.names = token_names(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for k, v in self.special.items():
-            self.names[v] = k
         self.rank: dict[tuple[str, str], int] = {}
         for i, m in enumerate(model["merges"]):
             self.rank.setdefault(tuple(m) if isinstance(m, list) else tuple(m.split(" ")), i)
@@ -178,7 +189,7 @@ class WordBpe:
             guesses[i] = self.merge(symbols[i])
         for w, g in zip(words, guesses):
             self.put(w, g)
-        if len(self.pairs) > 4 * MEMO_WORDS:
+        if len(self.pairs) > 2 * MEMO_WORDS:
             self.pairs.clear()
 
     def put(self, word: str, tokens: list[int]) -> None:
@@ -255,7 +266,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     @F.arrow_udf(T.StringType())
     def joined(a: pa.Array) -> pa.Array:
-        names = load(path).names
+        names = token_names(path)
         flat, ends = a.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
         if len(flat) and (flat.min() < 0 or flat.max() >= len(names)):
             known = (flat >= 0) & (flat < len(names))

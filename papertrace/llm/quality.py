@@ -21,8 +21,8 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 #: a text is rejected for one stray symbol or line where nearly all texts have none.
 RATES = {
     "symbol_rate": ("n_symbols / greatest(word_chars, 1)", 0.05),
-    "dup_line_rate": ("n_dup_lines / greatest(n_lines, 1)", 0.25),
-    "repeat_rate": ("n_repeat_words / greatest(n_words, 1)", 0.25),
+    "dup_line_rate": ("n_dup_lines / greatest(n_lines, 1)", 0.4),
+    "repeat_rate": ("n_repeat_words / greatest(n_words, 1)", 0.4),
     "word_length": ("word_chars / greatest(n_words, 1)", 4.0),
 }
 #: Fence: upper quartile plus so many interquartile ranges.

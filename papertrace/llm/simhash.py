@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, ready, text_of
-from .components import components
+from .components import components, forest
 
 RADIUS = 4
 SEED = 42
@@ -84,26 +84,6 @@ def syndrome(f: np.ndarray) -> np.ndarray:
     return s
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the edges: each vertex but the least of its tree, and that least one."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
-    while len(x):
-        low = np.minimum(label[x], label[y])
-        old = label.copy()
-        np.minimum.at(label, label[x], low)
-        np.minimum.at(label, label[y], low)
-        np.minimum.at(label, x, low)
-        np.minimum.at(label, y, low)
-        while (label[label] != label).any():
-            label = label[label]
-        if (old == label).all():
-            break
-    own = label != np.arange(len(nodes))
-    return nodes[own], nodes[label[own]]
-
-
 def meet(f: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The links among distinct fingerprints f that show in one bucket, as a spanning forest."""
     share = len(ERRORS) / (1 << bits)
