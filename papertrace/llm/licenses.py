@@ -119,8 +119,8 @@ def oracle(table: str = "documents") -> str:
     return rf"""
 WITH known(digest, license) AS (VALUES {values}),
 lines AS (
-  SELECT doc_id, rid, list_filter(list_transform(string_split(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)), x -> trim(x, ' ')),
-         x -> x <> '' AND NOT regexp_matches(x, {q(COPYRIGHT)})) AS l
+  SELECT doc_id, rid, list_filter(list_transform(string_split(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')),
+         lambda x: x <> '' AND NOT regexp_matches(x, {q(COPYRIGHT)})) AS l
   FROM (SELECT doc_id, text, row_number() OVER () AS rid FROM {table})),
 whole AS (SELECT doc_id, rid, sha256({spelled("array_to_string(l, ' ')")}) AS text_digest FROM lines),
 each AS (SELECT rid, unnest(l) AS x FROM lines),

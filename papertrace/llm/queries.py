@@ -87,9 +87,9 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER () AS rid FROM pages),
 g AS (SELECT sha256(html) AS d, max(page_id) AS holder FROM p GROUP BY 1)
-SELECT page_id, octet_length(html::BLOB) AS payload_bytes, sha1(html) AS payload_digest,
-       CASE WHEN octet_length(html::BLOB) >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN octet_length(html::BLOB) >= 1000 AND page_id <> holder THEN holder END AS refers_to
+SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN strlen(html) >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 1000 AND page_id <> holder THEN holder END AS refers_to
 FROM p JOIN g ON sha256(html) = d
 """,
     "op5_licenses": licenses.oracle(),

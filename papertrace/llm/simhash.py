@@ -173,3 +173,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     placed = by_fp.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     return docs.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """The rows of df of which one stays per component of near_duplicates(): that with the least doc_id, once
+    if it is repeated. A component without any doc_id keeps one row of each fingerprint. df's columns come
+    back as they were."""
+    rows = cut(fingerprints(df, text, "_fp", shingle))
+    by_fp = cut(rows.groupBy("_fp").agg(F.min(doc_id).alias("_low")))
+    roots = components(links(by_fp, "_fp"))
+    placed = by_fp.join(roots.withColumnRenamed("vertex", "_fp"), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
+    least = placed.groupBy("root").agg(F.min("_low").alias("_least"))
+    stay = placed.join(least, "root").where(F.col("_low").eqNullSafe(F.col("_least"))).select(F.col("_fp").alias("_k"), F.col("_low").alias("_stays"))
+    kept = rows.join(stay, (F.col("_fp") == F.col("_k")) & F.col(doc_id).eqNullSafe(F.col("_stays")), "left_semi")
+    return kept.dropDuplicates([doc_id, "_fp"]).select(df.columns)
