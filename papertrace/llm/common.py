@@ -60,6 +60,16 @@ def drop(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def text_of(col: str | Column) -> Column:
     """The text, or the empty text for null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -45,13 +45,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int
 def quotas(target: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, passes: int = PASSES) -> DataFrame:
     """(source, shard, quota): whole blocks of each source for each output shard, by Sainte-Laguë.
 
-    For the first i of the shards together N_i blocks are allotted. With t the source's share of N_i, no
+    A block has `block` words, or on average as many as a column `unit` says of its source (whose last block
+    may be short): the method shares out target / unit. For the first i of the shards together N_i blocks are allotted. With t the source's share of N_i, no
     source gets fewer than floor(t (1 - S / 2N) + 1/2) or more than floor(t (1 + S / 2N) + 1/2) blocks of S
     sources, so at most about 2 S seats are contested: those are ranked by quotient (ties by source)."""
     whole = Window.partitionBy()
-    t = target.select("source", "target", (F.ceil(F.col("source_size") / block) * passes).alias("_most")).withColumn("_sum", F.sum("target").over(whole)).withColumn("_s", F.count(F.lit(1)).over(whole))
+    unit = F.col("unit") if "unit" in target.columns else F.lit(block)
+    t = target.select("source", (F.col("target") / unit).alias("target"), (F.ceil(F.col("source_size") / block) * passes).alias("_most")).withColumn("_sum", F.sum("target").over(whole)).withColumn("_s", F.count(F.lit(1)).over(whole))
     t = t.where("target > 0").withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards))))
-    t = t.withColumn("_n", F.round(F.round(F.col("_sum") / block) * F.col("shard") / shards).cast("long")).withColumn("_t", F.col("target") / F.col("_sum") * F.col("_n"))
+    t = t.withColumn("_n", F.round(F.round(F.col("_sum")) * F.col("shard") / shards).cast("long")).withColumn("_t", F.col("target") / F.col("_sum") * F.col("_n"))
     slack = F.col("_s") / (2.0 * F.greatest("_n", F.lit(1)))
     bound = lambda k: F.least("_most", F.greatest(F.lit(0), F.floor(F.col("_t") * k + 0.5))).cast("long")
     t = t.withColumn("_low", bound(F.greatest(F.lit(0.0), 1 - slack))).withColumn("_high", bound(1 + slack))
@@ -83,9 +85,9 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit(SEED), F.col(doc_id), text_of(text)).alias("_seeded"))
     rows = running_totals(rows, ["source", "_seeded", "doc_id"], "size", "first", "_place", group="source")
     goal = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), 1)
-    share = quotas(goal).groupBy("source").agg(F.sum("quota").alias("quota")).select(F.col("source").alias("_q"), "quota")
-    goal = goal.join(share, F.col("source").eqNullSafe(F.col("_q")), "left")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("long")
+    share = quotas(goal.withColumn("unit", F.greatest(F.lit(1), F.col("source_size")) / blocks)).groupBy("source").agg(F.sum("quota").alias("quota")).select(F.col("source").alias("_q"), "quota")
+    goal = goal.join(share, F.col("source").eqNullSafe(F.col("_q")), "left")
     goal = goal.select(F.col("source").alias("_s"), "source_size", "target", blocks.alias("blocks"), F.coalesce("quota", F.lit(0)).cast("long").alias("_quota"))
     goal = cut(goal.select("*", F.floor(F.col("_quota") / F.col("blocks")).alias("passes"), (F.col("_quota") % F.col("blocks")).alias("rest")), 1)
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_s")))
@@ -105,13 +107,13 @@ def materialise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     """The mix itself, with df's columns: a row with its whole text for each pass, and one with the words of
     the taken blocks, joined by one space, where a last pass takes some of them. Rows that it doesn't take
     are left out. A row's place is found again by its id, source and text's hash; equal rows take equal parts."""
-    taken = mix(df, doc_id, text, source).groupBy(F.col("doc_id").alias("_d"), "_seeded").agg(F.min(F.struct("first", "size", "blocks", "passes", "rest")).alias("_m")).select("_d", F.col("_seeded").alias("_h"), "_m.*")
-    here = df.withColumn("_h2", F.xxhash64(F.lit(SEED), F.col(doc_id), text_of(text)))
-    rows = here.join(taken, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_h2") == F.col("_h")))
-    words = F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0))
-    partial = F.array_join(F.flatten(F.transform(spans(), lambda s: F.slice(F.col("_w"), (s["start"] + 1).cast("int"), (s["upto"] - s["start"]).cast("int")))), " ")
-    rows = rows.withColumn("_w", words).withColumn("_part", partial)
-    whole = F.when(F.col("passes") > 0, F.array_repeat(F.col(text), F.col("passes").cast("int"))).otherwise(F.array().cast("array<string>"))
-    out = F.when(F.col("_part") != "", F.concat(whole, F.array("_part"))).otherwise(whole)
-    rows = rows.withColumn("_out", F.explode(out))
-    return rows.select(*(F.col("_out").alias(c) if c == text else F.col(c) for c in df.columns))
+    taken = mix(df, doc_id, text, source).groupBy("doc_id", "_seeded").agg(F.min(F.struct("first", "size", "blocks", "passes", "rest")).alias("m")).select(F.col("doc_id").alias("d"), F.col("_seeded").alias("h"), "m.*")
+    here = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    t, key = F.col("row")[text], F.xxhash64(F.lit(SEED), F.col("row")[doc_id], text_of(F.col("row")[text]))
+    rows = here.join(taken, F.col("row")[doc_id].eqNullSafe(F.col("d")) & (key == F.col("h")))
+    part = F.array_join(F.flatten(F.transform(spans(), lambda s: F.slice(F.col("w"), (s["start"] + 1).cast("int"), (s["upto"] - s["start"]).cast("int")))), " ")
+    rows = rows.withColumn("w", F.regexp_extract_all(text_of(t), F.lit(WORD), F.lit(0))).withColumn("part", part)
+    whole = F.when(F.col("passes") > 0, F.array_repeat(t, F.col("passes").cast("int"))).otherwise(F.array().cast("array<string>"))
+    out = F.when(F.col("part") != "", F.concat(whole, F.array("part"))).otherwise(whole)
+    rows = rows.select("row", F.explode(out).alias("out"))
+    return rows.select(*(F.col("out").alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 ROUNDS = 8
 #: kind -> pattern; the first that matches at a place counts. Linear in the text: no nested unbounded repeats.
 PATTERNS = {
@@ -173,12 +175,11 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str | None
     A null text stays null, with none replaced; texts without candidates stay as they are. Rows are
     independent, equal texts stay equal, other columns pass (one named as `count` is replaced); an empty
     table stays empty. JVM only."""
-    t = F.col(text)
-    some = t.rlike(ANY)
+    t, pairs = F.col(text), unused(df, "_pairs")[0]
     found = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
-    pairs = F.transform(found, lambda s: F.struct(s.alias("old"), pseudonym(s, key).alias("new")))
-    df = df.withColumn("_pairs", F.when(some, pairs))
-    joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.transform("_pairs", lambda p: p["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    made = F.transform(found, lambda s: F.struct(s.alias("old"), pseudonym(s, key).alias("new")))
+    df = df.withColumn(pairs, F.when(t.rlike(ANY), made))
+    joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.transform(pairs, lambda p: p["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     if count:
-        df = df.withColumn(count, F.coalesce(F.size(F.filter("_pairs", lambda p: p["old"] != p["new"])), F.lit(0)).cast("long"))
-    return df.withColumn(text, F.when(F.col("_pairs").isNotNull(), joined).otherwise(t)).drop("_pairs")
+        df = df.withColumn(count, F.coalesce(F.size(F.filter(pairs, lambda p: p["old"] != p["new"])), F.lit(0)).cast("long"))
+    return df.withColumn(text, F.when(F.col(pairs).isNotNull(), joined).otherwise(t)).drop(pairs)

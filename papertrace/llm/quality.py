@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, ready, text_of
+from .common import cut, ready, text_of, unused
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: rate -> (expression, least distance of the fence from the upper quartile): a fence is never so near that
@@ -67,10 +67,10 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
         rows = [_count(x.as_py()) for x in a.cast(pa.binary())]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_COUNTS))], names=list(_COUNTS))
 
-    df = df.withColumn("_counts", measured(text_of(text)))
-    for c in _COUNTS:
-        df = df.withColumn(c, F.col("_counts")[c])
-    return df.drop("_counts").withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    own = unused(df, "_counts")[0]
+    df = df.withColumn(own, measured(text_of(text)))
+    df = df.withColumns({c: F.col(own)[c] for c in _COUNTS})
+    return df.drop(own).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
 def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -88,19 +88,20 @@ def verdict(counted: DataFrame, lang: str = "lang", source: str = "source") -> D
     """counted (what counts() gave, cheap to read twice) with kept, by a join with the cutoffs."""
     cutoffs = cut(thresholds(counted, lang, source), 1)
     names = [f"max_{r}" for r in RATES]
-    out = counted
-    for level, on in ((0, ("_lang", "_source")), (1, ("_lang",)), (3, ())):
-        own = cutoffs.where((F.col("level") == level) & (F.col("n_texts") >= (LEAST_TEXTS if on else 1))).select(*on, F.struct(*names).alias(f"_t{level}"))
+    out, of_lang, of_source, *limits = counted, *unused(counted, "_lang", "_source", "_t0", "_t1", "_t3")
+    for limit, level, on in zip(limits, (0, 1, 3), ((of_lang, of_source), (of_lang,), ())):
+        own = cutoffs.where((F.col("level") == level) & (F.col("n_texts") >= (LEAST_TEXTS if on else 1)))
+        own = own.select(F.col("_lang").alias(of_lang), F.col("_source").alias(of_source), F.struct(*names).alias(limit)).select(*on, limit)
         if on:
-            match = [F.col({"_lang": lang, "_source": source}[c]).eqNullSafe(F.col(c)) for c in on]
+            match = [F.col({of_lang: lang, of_source: source}[c]).eqNullSafe(F.col(c)) for c in on]
             out = out.join(own, match, "left").drop(*on)
         else:
             out = out.join(F.broadcast(own), how="left")  # one row
-    limit = F.coalesce("_t0", "_t1", "_t3")
+    limit = F.coalesce(*limits)
     beyond = F.lit(False)
     for r, (e, _) in RATES.items():
         beyond = beyond | F.coalesce(F.expr(e) > limit[f"max_{r}"], F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("_t0", "_t1", "_t3")
+    return out.withColumn("kept", ~F.col("base_failed") & ~beyond).drop(*limits)
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,7 +64,7 @@ def fingerprint_of(data: bytes, shingle: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = 5) -> DataFrame:
+def fingerprints(df: DataFrame, text: str | Column = "text", out: str = "fp", shingle: int = 5) -> DataFrame:
     """df with the fingerprint of each whole text as a long (the 64 bits, signed) in `out`.
 
     Fewer words than a shingle: the whole sequence is the one shingle; none, or null: zero."""
@@ -179,11 +179,12 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """The rows of df of which one stays per component of near_duplicates(): that with the least doc_id, once
     if it is repeated. A component without any doc_id keeps one row of each fingerprint. df's columns come
     back as they were."""
-    rows = cut(fingerprints(df, text, "_fp", shingle))
-    by_fp = cut(rows.groupBy("_fp").agg(F.min(doc_id).alias("_low")))
-    roots = components(links(by_fp, "_fp"))
-    placed = by_fp.join(roots.withColumnRenamed("vertex", "_fp"), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
-    least = placed.groupBy("root").agg(F.min("_low").alias("_least"))
-    stay = placed.join(least, "root").where(F.col("_low").eqNullSafe(F.col("_least"))).select(F.col("_fp").alias("_k"), F.col("_low").alias("_stays"))
-    kept = rows.join(stay, (F.col("_fp") == F.col("_k")) & F.col(doc_id).eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_fp"]).select(df.columns)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    rows = cut(fingerprints(rows, F.col("row")[text], "fp", shingle).withColumn("id", F.col("row")[doc_id]))
+    by_fp = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
+    roots = components(links(by_fp))
+    placed = by_fp.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = placed.groupBy("root").agg(F.min("low").alias("least"))
+    stay = placed.join(least, "root").where(F.col("low").eqNullSafe(F.col("least"))).select(F.col("fp").alias("k"), F.col("low").alias("stays"))
+    kept = rows.join(stay, (F.col("fp") == F.col("k")) & F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    return kept.dropDuplicates(["id", "fp"]).select("row.*")
