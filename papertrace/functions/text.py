@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -29,7 +30,7 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def unicode_fold(a: pa.Array) -> pa.Array:
     """Entities resolved, compatibility forms folded, combining marks dropped."""
 

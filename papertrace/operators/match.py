@@ -9,6 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 
@@ -75,7 +76,7 @@ def blocks(taken: Column, n_lines: Column) -> Column:
     return F.transform(taken, lambda n: F.struct(F.greatest(n, F.lit(0)).alias("lo"), F.when(n < 0, 0).otherwise(size(n)).alias("len")))
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(ArrayType(StringType()))
 def mask_claimed(lines: pa.Array, others: pa.Array) -> pa.Array:
     """Lines with every stretch that is another value blanked by NUL, character for character."""
 
