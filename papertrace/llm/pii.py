@@ -9,6 +9,8 @@ expressions: regular expressions and higher-order functions, evaluated only for
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,19 @@ PATTERNS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-ANY = "|".join(PATTERNS.values())
+#: All kinds but addresses with an @ begin with one of a few characters, so that most places need no more than one look.
+ANY = PATTERNS["email"] + "|(?=[0-9(+A-Z])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "email") + ")"
+#: What every candidate holds; most texts hold none of it.
+_SOME = "[0-9@]"
 #: Dates that are permuted: from, and how many days.
 _EPOCH, _DAYS, _SIDE = "1900-01-01", 73_049, 271
 
 
+def _bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def _word(*parts: Column) -> Column:
     """A 32-bit number from keyed SHA-256."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8), 16, 10).cast("long")
@@ -38,16 +48,16 @@ def feistel(values: Column, radix: Column, key: str, tweak: Column) -> Column:
     """array<bigint> values, each below its radix, permuted among all such lists. The halves take turns: each
     symbol of one is shifted by a keyed hash of the other, modulo its radix; with the radices fixed this can
     be undone, round by round."""
-    half = F.floor(F.size(values) / 2).cast("int")
 
-    def turn(acc: Column, r: Column) -> Column:
+    def turn(b: Column, acc: Column, r: Column) -> Column:
         left = r % 2 == 1
-        other = F.when(left, F.slice(acc, half + 1, F.size(acc))).otherwise(F.slice(acc, F.lit(1), half))
-        said = F.array_join(other.cast("array<string>"), ",")
-        active = lambda i: F.when(left, i < half).otherwise(i >= half)
-        return F.transform(acc, lambda v, i: F.when(active(i), (v + _word(F.lit(key), tweak, r.cast("string"), i.cast("string"), said)) % F.get(radix, i)).otherwise(v))
+        other = F.when(left, F.slice(acc, b["half"] + 1, F.size(acc))).otherwise(F.slice(acc, F.lit(1), b["half"]))
+        active = lambda i: F.when(left, i < b["half"]).otherwise(i >= b["half"])
+        shifted = lambda said: F.transform(acc, lambda v, i: F.when(active(i), (v + _word(F.lit(key), b["tweak"], r.cast("string"), i.cast("string"), said)) % F.get(b["radix"], i)).otherwise(v))
+        return _bind(F.array_join(other.cast("array<string>"), ","), shifted)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), values.cast("array<bigint>"), turn)
+    once = F.struct(values.cast("array<bigint>").alias("values"), radix.alias("radix"), tweak.alias("tweak"), F.floor(F.size(values) / 2).cast("int").alias("half"))
+    return _bind(once, lambda b: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), b["values"], lambda acc, r: turn(b, acc, r)))
 
 
 def _chars(s: Column) -> Column:
@@ -61,8 +71,8 @@ def _digits(s: Column) -> Column:
 def _refill(shape: Column, new: Column, pattern: str) -> Column:
     """shape with its characters that match `pattern` replaced by those of array `new`, in order."""
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("k"))
-    put = F.aggregate(_chars(shape), start, lambda a, c: F.when(c.rlike(pattern), F.struct(F.concat(a["s"], F.get(new, a["k"])).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))))
-    return put["s"]
+    put = lambda n: F.aggregate(_chars(shape), start, lambda a, c: F.when(c.rlike(pattern), F.struct(F.concat(a["s"], F.get(n, a["k"])).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))))
+    return _bind(new, put)["s"]
 
 
 def _by_class(s: Column, key: str, kind: str) -> Column:
@@ -77,18 +87,19 @@ def _by_class(s: Column, key: str, kind: str) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """The sum that Luhn's rule takes modulo 10; the last digit is the check digit."""
-    last = F.size(digits) - 1
-    weighed = F.transform(digits, lambda d, i: F.when((last - i) % 2 == 0, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0)))
+    weighed = F.transform(F.reverse(digits), lambda d, i: F.when(i % 2 == 0, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0)))
     return F.aggregate(weighed, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
 def _card(s: Column, key: str) -> Column:
-    digits = _digits(s)
-    body = F.slice(digits, F.lit(1), F.size(digits) - 1)
-    new = feistel(body, F.transform(body, lambda _: F.lit(10)), key, F.concat(F.lit("card"), F.size(digits).cast("string")))
-    check = (10 - _luhn(F.concat(new, F.array(F.lit(0).cast("bigint")))) % 10) % 10
-    put = _refill(s, F.concat(new, F.array(check)).cast("array<string>"), "[0-9]")
-    return F.when(_luhn(digits) % 10 == 0, put)
+    def permuted(digits: Column) -> Column:
+        body = F.slice(digits, F.lit(1), F.size(digits) - 1)
+        new = feistel(body, F.transform(body, lambda _: F.lit(10)), key, F.concat(F.lit("card"), F.size(digits).cast("string")))
+        check = lambda n: (10 - _luhn(F.concat(n, F.array(F.lit(0).cast("bigint")))) % 10) % 10
+        put = _refill(s, _bind(new, lambda n: F.concat(n, F.array(check(n)))).cast("array<string>"), "[0-9]")
+        return F.when(_luhn(digits) % 10 == 0, put)
+
+    return _bind(_digits(s), permuted)
 
 
 def _mod97(s: Column) -> Column:
@@ -100,9 +111,8 @@ def _mod97(s: Column) -> Column:
 def _iban(s: Column, key: str) -> Column:
     flat = F.replace(s, F.lit(" "), F.lit(""))
     country, body = F.substring(flat, 1, 2), F.substring(flat, 5, 64)
-    new = _by_class(body, key, "iban")
-    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    put = _refill(s, _chars(F.concat(country, check, new)), "[A-Z0-9]")
+    check = lambda new: F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+    put = _refill(s, _chars(_bind(_by_class(body, key, "iban"), lambda new: F.concat(country, check(new), new))), "[A-Z0-9]")
     return F.when(_mod97(F.concat(body, country, F.substring(flat, 3, 2))) == 1, put)
 
 
@@ -148,9 +158,8 @@ def _date(s: Column, key: str) -> Column:
         return F.when(acc["done"], acc).otherwise(F.get(F.transform(new, lambda x: F.struct(x.cast("bigint").alias("x"), inside(x).alias("done"))), 0))
 
     at = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(day.alias("x"), F.lit(False).alias("done")), walk)
-    new = on(at["x"])
-    put = F.when(s.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(year_first, F.date_format(new, "yyyy/MM/dd")).when(s.contains("."), F.date_format(new, "dd.MM.yyyy")).when(swapped, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
-    return F.when(real & at["done"], put)
+    put = lambda new: F.when(s.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(year_first, F.date_format(new, "yyyy/MM/dd")).when(s.contains("."), F.date_format(new, "dd.MM.yyyy")).when(swapped, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    return F.when(real, _bind(at, lambda a: F.when(a["done"], _bind(on(a["x"]), put))))
 
 
 def pseudonym(s: Column, key: str) -> Column:
@@ -178,7 +187,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str | None
     t, pairs = F.col(text), unused(df, "_pairs")[0]
     found = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
     made = F.transform(found, lambda s: F.struct(s.alias("old"), pseudonym(s, key).alias("new")))
-    df = df.withColumn(pairs, F.when(t.rlike(ANY), made))
+    df = df.withColumn(pairs, F.when(t.rlike(_SOME), made))
     joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.transform(pairs, lambda p: p["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     if count:
         df = df.withColumn(count, F.coalesce(F.size(F.filter(pairs, lambda p: p["old"] != p["new"])), F.lit(0)).cast("long"))
