@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, text_of
+from .common import ready, text_of, unused
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines (in canonical form) that claim copyright and grant nothing.
@@ -66,20 +67,19 @@ def registry(spark: SparkSession, more: dict[str, str] | None = None) -> DataFra
 
 
 def _lines(text: Column) -> Column:
-    flat = F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[^a-z0-9\n]+", " ")
+    # what is left after the replacement is ASCII, on which lower() does A-Z only; lone spaces stay as they are
+    flat = F.lower(F.regexp_replace(text, r"[^A-Za-z0-9\n ][^A-Za-z0-9\n]*| [^A-Za-z0-9\n]+", " "))
     lines = F.transform(F.split(flat, "\n"), lambda x: F.btrim(x))
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
 
 
 def _spelled(c: Column) -> Column:
     """Equivalent spellings made one; c is bound once, and most texts hold none of them."""
-    some = "|".join(a for a, _ in SPELLINGS)
-
     def chain(x: Column) -> Column:
         y = x
         for a, b in SPELLINGS:
             y = F.regexp_replace(y, rf"\b{a}\b", b)
-        return F.when(x.rlike(some), y).otherwise(x)
+        return F.when(reduce(Column.__or__, (F.contains(x, F.lit(a)) for a, _ in SPELLINGS)), y).otherwise(x)
 
     return F.get(F.transform(F.array(c), chain), 0)
 
@@ -100,9 +100,13 @@ def scan(df: DataFrame, text: str = "text", more: dict[str, str] | None = None)
     known = registry(spark, more)
     table = digests() | (more or {})
     lookup = F.create_map(*(F.lit(x) for kv in sorted(table.items()) for x in kv))
-    df = df.drop("text_digest", "license", "notices").withColumn("text_digest", F.sha2(canonical(text), 256))
-    hit = F.transform(F.filter(_lines(text_of(text)), lambda x: F.length(x) < 200), lambda x: F.try_element_at(lookup, F.sha2(_spelled(x), 256)))
-    df = df.withColumn("notices", F.nullif(F.array_join(F.array_sort(F.array_distinct(F.filter(hit, lambda x: x.isNotNull()))), ","), F.lit("")))
+    df = df.drop("text_digest", "license", "notices")
+    lines = unused(df, "_lines")[0]
+    df = df.withColumn(lines, _lines(text_of(text))).withColumn("text_digest", F.sha2(_spelled(F.array_join(lines, " ")), 256))
+    # a set finds the few lines that are known; the map, which is searched in turn, names them
+    some = F.filter(F.transform(F.filter(lines, lambda x: F.length(x) < 200), lambda x: F.sha2(_spelled(x), 256)), lambda d: d.isin(*sorted(table)))
+    hit = F.transform(some, lambda d: F.try_element_at(lookup, d))
+    df = df.withColumn("notices", F.nullif(F.array_join(F.array_sort(F.array_distinct(F.filter(hit, lambda x: x.isNotNull()))), ","), F.lit(""))).drop(lines)
     return df.join(F.broadcast(known.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
 
 
