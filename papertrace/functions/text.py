@@ -93,7 +93,7 @@ def _plain(c: Column) -> Column:
     return F.ltrim(F.rtrim(F.ltrim(c, F.lit("+")), F.lit(").")), F.lit("("))
 
 
-def _bind(c: Column, f: Callable[[Column], Column]) -> Column:
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
     """f(c) with c evaluated once, however often f uses it."""
     return F.get(F.transform(F.array(c), f), 0)
 
@@ -101,7 +101,7 @@ def _bind(c: Column, f: Callable[[Column], Column]) -> Column:
 def canon(col: str | Column) -> Column:
     """A value without formatting that carries no information; its sign stays, wrapped figures get theirs."""
     inner = lambda t: F.regexp_extract(t, NEGATIVE, 1)
-    return _bind(strip(join_thousands(col)), lambda t: F.when(t.rlike(NEGATIVE), F.concat(F.lit("-"), _plain(strip(join_thousands(inner(t)))))).otherwise(_plain(t)))
+    return bind(strip(join_thousands(col)), lambda t: F.when(t.rlike(NEGATIVE), F.concat(F.lit("-"), _plain(strip(join_thousands(inner(t)))))).otherwise(_plain(t)))
 
 
 def is_multiword(col: str | Column) -> Column:
@@ -145,7 +145,7 @@ def num(col: str | Column) -> Column:
         v = F.regexp_replace(body, r"(?U)[^\d.\-]", "").try_cast("double")
         return F.when(body.rlike("[A-Za-z]"), None).when(t.rlike(whole), -F.abs(v)).otherwise(v)
 
-    return _bind(strip(col), parse)
+    return bind(strip(col), parse)
 
 
 def html_rows(col: str | Column) -> Column:

@@ -49,7 +49,8 @@ def substr_match(v: Column, lows: Column) -> Column:
 
 def found(v: Column, lows: Column, forms: Column) -> Column:
     """Whether a value stands in lines (lower case) or their tokens."""
-    return F.when(v["multi"], substr_match(v, lows)).otherwise(token_match(v, forms))
+    at = F.struct(lows.alias("lows"), forms.alias("forms"))
+    return T.bind(at, lambda b: F.when(v["multi"], substr_match(v, b["lows"])).otherwise(token_match(v, b["forms"])))
 
 
 def anchors(rows: Column, lows: Column, forms: Column) -> Column:
@@ -171,22 +172,29 @@ def verdicts(texts: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("parse
         status = F.when(here, "OK").when(scoped & page, "MISPLACED").otherwise("MISS")
         return F.struct(f["field"].alias("field"), f["forms"].alias("v"), scoped.alias("scoped"), F.when(scoped, b["lo"]).otherwise(0).alias("lo"), F.when(scoped, b["len"]).otherwise(F.size("lines")).alias("len"), status.alias("status"))
 
-    judged = p.withColumn("found", F.transform("fields", judge))
-    settled = judged.select(*keys, "rows_anchored", "n_rows", F.explode("found").alias("f")).where("f.status <> 'MISS'")
-    settled = settled.select(*keys, "f.field", "f.v.printed", "f.status", F.when(F.col("f.status") == "MISPLACED", F.col("f.v.printed")).alias("got"), F.when(F.col("f.status") == "MISPLACED", 0).alias("distance"), F.lit(None).cast("boolean").alias("typed"), "rows_anchored", "n_rows")
-    # misses only, with the lines and tokens of their scope
-    miss = judged.select(*keys, "rows_anchored", "n_rows", "lines", "forms", "claimed", F.transform("fields", lambda f: f["forms"]["low"]).alias("every"), F.explode(F.filter("found", lambda f: f["status"] == "MISS")).alias("f"))
+    # a field's row carries the lines and tokens of its scope only where it missed
+    def with_scope(f: Column) -> Column:
+        missed, own = f["status"] == "MISS", lambda a: F.slice(F.col(a), f["lo"] + 1, f["len"])
+        return F.struct(f.alias("f"), F.when(missed, own("lines")).alias("scope"), F.when(missed, F.flatten(own("forms"))).alias("toks"))
+
+    p = p.withColumn("found", F.transform("fields", judge)).withColumn("found", F.transform("found", with_scope))
+    every = F.transform("fields", lambda f: f["forms"]["low"])
+    each = p.select(*keys, "rows_anchored", "n_rows", "claimed", every.alias("every"), F.explode("found").alias("x")).select(*keys, "rows_anchored", "n_rows", "claimed", "every", "x.*")
     v = F.col("f.v")
     mine = F.array(v["low"], v["bare"], v["canon"])
-    miss = miss.withColumn("scope", F.slice("lines", F.col("f.lo") + 1, F.col("f.len"))).withColumn("toks", F.flatten(F.slice("forms", F.col("f.lo") + 1, F.col("f.len"))))
-    miss = miss.withColumn("others", F.array_except("claimed", mine)).withColumn("prose", T.shape(v["printed"]) == "text")
-    miss = miss.drop("lines", "forms", "claimed")
-    text = miss.where("prose").withColumn("masked", mask_claimed(F.col("scope"), F.array_except("every", mine)))
-    text = text.withColumn("best", nearest_window(v, F.col("scope"), F.col("masked"))).select(*keys, "rows_anchored", "n_rows", "f", F.lit(False).alias("short"), F.col("best.d").alias("d"), F.col("best.raw").alias("raw"), F.greatest(F.lit(1), F.floor(F.length(v["printed"]) / 4)).alias("most"), F.lit(1 << 30).alias("tell"))
-    limit = F.greatest(F.lit(1), F.floor(F.length(v["canon"]) / 3))
-    short = (F.length(v["printed"]) < 3) & ~F.col("f.scoped")
-    token = miss.where("not prose").withColumn("best", F.when(~short, nearest_token(v, F.col("toks"), F.col("others")))).select(*keys, "rows_anchored", "n_rows", "f", short.alias("short"), F.col("best.d").alias("d"), F.col("best.raw").alias("raw"), limit.alias("most"), (2 * limit).alias("tell"))
-    near = text.unionByName(token)
-    corrupt = F.coalesce(F.col("d") <= F.col("most"), F.lit(False))
-    near = near.select(*keys, "f.field", "f.v.printed", F.when(corrupt, "CORRUPT").otherwise("ABSENT").alias("status"), F.when(F.col("d") <= F.greatest("most", "tell"), F.col("raw")).alias("got"), F.col("d").alias("distance"), F.when(corrupt, T.stays_in_alphabet(F.col("f.v.printed"), F.col("raw"))).alias("typed"), "rows_anchored", "n_rows")
-    return settled.unionByName(near)
+    missed, prose = F.col("f.status") == "MISS", T.shape(v["printed"]) == "text"
+    short = (F.length(v["printed"]) < 3) & ~F.col("f.scoped") & ~prose
+    each = each.withColumn("_prose", missed & prose).withColumn("_token", missed & ~prose & ~short)
+    each = each.withColumn("_masked", mask_claimed(F.when(F.col("_prose"), F.col("scope")), F.when(F.col("_prose"), F.array_except("every", mine))))
+    window = F.when(F.col("_prose"), nearest_window(v, F.col("scope"), F.col("_masked")))
+    token = F.when(F.col("_token"), T.bind(F.struct(F.col("toks").alias("t"), F.array_except("claimed", mine).alias("o")), lambda b: nearest_token(v, b["t"], b["o"])))
+    each = each.withColumn("_w", window).withColumn("_t", token)
+    near = each.select(*keys, "f", "_prose", F.coalesce("_w.d", "_t.d").alias("d"), F.coalesce("_w.raw", "_t.raw").alias("raw"), "rows_anchored", "n_rows")
+    limit = F.when(F.col("_prose"), F.greatest(F.lit(1), F.floor(F.length(v["printed"]) / 4))).otherwise(F.greatest(F.lit(1), F.floor(F.length(v["canon"]) / 3)))
+    missed, moved = F.col("f.status") == "MISS", F.col("f.status") == "MISPLACED"
+    corrupt = missed & F.coalesce(F.col("d") <= limit, F.lit(False))
+    told = F.col("_prose") | F.coalesce(F.col("d") <= 2 * limit, F.lit(False))
+    status = F.when(corrupt, "CORRUPT").when(missed, "ABSENT").otherwise(F.col("f.status"))
+    got = F.when(moved, v["printed"]).when(missed & told, F.col("raw"))
+    typed = F.when(corrupt, T.stays_in_alphabet(v["printed"], F.col("raw")))
+    return near.select(*keys, "f.field", v["printed"].alias("printed"), status.alias("status"), got.alias("got"), F.when(moved, 0).otherwise(F.col("d")).alias("distance"), typed.alias("typed"), "rows_anchored", "n_rows")
