@@ -1,0 +1,136 @@
+"""Near copies by the Jaccard similarity of their shingles.
+
+Texts with equal sets of shingles are one node. Each node has BANDS keys, each of ROWS MinHash values: two
+sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, 0.999997 at 0.8. Shared keys
+make candidate clusters; the sets of a cluster then meet in a task, which links those that are similar enough
+by their whole sets, found through an inverted index. No link rests on an estimate.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cut, ready, text_of
+from .components import components
+
+#: Least Jaccard similarity of a link.
+SIMILAR = 0.8
+BANDS, ROWS = 32, 5
+#: Candidates that a task compares, about; more if a cluster is larger.
+TASK_SETS = 5_000
+_U = np.uint64
+_rng = np.random.default_rng(20240301)
+_FACTORS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
+_MASK, _TIMES = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1) for _ in range(2))
+_BAND = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
+    return x ^ x >> _U(31)
+
+
+def shingles_of(data: bytes, shingle: int = 5) -> np.ndarray:
+    """The sorted hashes of a UTF-8 text's distinct shingles. Fewer words than a shingle: all of them are the
+    one shingle; none: no shingle."""
+    words = data.lower().split()  # A-Z only; parts at exactly \x20 and \x09-\x0D
+    n, digest = len(words), xxhash.xxh64_intdigest
+    if not n:
+        return np.zeros(0, np.uint64)
+    h, k = np.fromiter((digest(w) for w in words), np.uint64, n), min(n, shingle)
+    g = np.full(n - k + 1, k, dtype=np.uint64)
+    for i in range(k):
+        g = (g + h[i : n - k + 1 + i]) * _FACTORS[i % len(_FACTORS)]
+        g ^= g >> _U(29)
+    return np.unique(_mixed(g))
+
+
+def keys_of(s: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set."""
+    low = np.full(BANDS * ROWS, ~_U(0), dtype=np.uint64)
+    for k in range(0, len(s), 2_048):
+        np.minimum(low, ((s[k : k + 2_048, None] ^ _MASK) * _TIMES).min(axis=0), out=low)
+    key = _BAND.copy()
+    for column in low.reshape(BANDS, ROWS).T:
+        key = _mixed(key + column)
+    return key
+
+
+def alike(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
+    """For each of some distinct sets the number of one set of its component, the same for all of it; links are
+    all pairs of Jaccard similarity `least` or more. Sets once reached leave the index, so that a group of
+    near copies costs about its size and not its square."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    _, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    owner, begin = np.repeat(np.arange(n), size), np.cumsum(size) - size
+    root = np.full(n, -1, dtype=np.int64)
+
+    def index() -> tuple[np.ndarray, np.ndarray]:
+        here = root[owner] < 0
+        order = np.argsort(code[here], kind="stable")
+        return owner[here][order], np.concatenate([[0], np.cumsum(np.bincount(code[here], minlength=int(code.max(initial=0)) + 1))])
+
+    held, first = index()
+    left = held_sets = n
+    for seed in range(n):
+        if root[seed] >= 0:
+            continue
+        root[seed], left, todo = seed, left - 1, [seed]
+        while todo:
+            u = todo.pop()
+            if 2 * left < held_sets:
+                (held, first), held_sets = index(), left
+            c = code[begin[u] : begin[u] + size[u]]
+            lo, many = first[c], first[c + 1] - first[c]
+            at = held[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+            v, both = np.unique(at[root[at] < 0], return_counts=True)
+            v = v[both >= least * (size[u] + size[v] - both) - 1e-9]
+            root[v] = seed
+            left -= len(v)
+            todo += v.tolist()
+    return root
+
+
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = SIMILAR) -> DataFrame:
+    """The rows of df of which one stays per component of texts that links of Jaccard similarity `least` or more
+    reach: that with the least doc_id, null after all, once if it is repeated.
+
+    Texts without words (null and empty ones too) are copies of each other. A cluster of candidates fits a
+    task. df's columns come back as they were; no rows, no result."""
+    spark = ready(df.sparkSession)
+
+    @F.arrow_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    def sketch(a: pa.Array) -> pa.Array:
+        sets = [shingles_of(x.as_py(), shingle) for x in a.cast(pa.binary())]
+        node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+        keys = [keys_of(s).view(np.int64) for s in sets]
+        offsets = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        return pa.StructArray.from_arrays([pa.array(node), lists], names=["node", "keys"])
+
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    rows = rows.withColumn("s", sketch(text_of(F.col("row")[text]))).select("row", F.col("row")[doc_id].alias("id"), "s.node", "s.keys", F.monotonically_increasing_id().alias("rid"))
+    rows = cut(rows)
+    keyed = rows.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+    clusters = components(keyed.join(shared, "key").where("node <> low").select("node", "low").distinct(), "node", "low")
+    one = cut(rows.groupBy("node").agg(F.min("rid").alias("rid")).join(clusters.withColumnRenamed("vertex", "node"), "node"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-one.count() // TASK_SETS))
+
+    def judge(t: pa.Table) -> pa.Table:
+        node = t.column("node").to_numpy()
+        sets = [shingles_of(x.as_py(), shingle) for x in t.column("text").cast(pa.binary())]
+        return pa.table({"node": node, "group": node[alike(sets, least)]})
+
+    asked = rows.select("rid", text_of(F.col("row")[text]).alias("text")).join(one, "rid").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(tasks)))
+    groups = asked.select("task", "node", "text").groupBy("task").applyInArrow(judge, "node long, group long")
+    placed = rows.select("rid", "id", "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    stay = placed.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("stays"))
+    return rows.join(stay.select(F.col("stays.rid").alias("rid")), "rid", "left_semi").select("row.*")
