@@ -3,8 +3,10 @@
 Each shard's graph is built once, stored in the shared folder, and queried by all vectors of its label, in
 blocks. Queries of a block walk the graph in step, so that each step is a few NumPy calls for hundreds of
 them. A beam is widened while it holds links only (there may be more behind them), at last to the whole shard;
-and a block's beams are widened until an audit against brute force finds the recall asked for. Links are
-verified by cosine in double precision. What leaves a task is a count per query and a spanning forest.
+and a block's beams are widened until an audit against brute force finds the recall asked for. Equal vectors
+are one node and one query; those links are exact and take no part in the audit, which draws queries until
+AUDIT of them have true links, and weighs each of these alike. Links are verified by cosine in double
+precision. What leaves a task is a count per query and a spanning forest.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ SHARD_ROWS, BLOCK_ROWS = 32_768, 65_536
 LEAST_BLOCKS = 4
 #: Neighbours of a node (twice as many on the lowest layer), beam when building and when querying.
 DEGREE, BUILD_BEAM, BEAM = 12, 48, 32
-#: Queries of a block that are audited, the recall asked for, and queries in step.
+#: Queries with true links that are audited in a block, the mean recall of a query asked for, and queries in step.
 AUDIT, RECALL, STEP = 64, 0.995, 256
 
 
@@ -188,6 +190,45 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return v / np.sqrt(np.einsum("rd,rd->r", v, v))[:, None]
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, node): the first row of each different vector, in order of rows, and each row's number among those."""
+    flat = np.ascontiguousarray(x + 0.0)  # -0.0 is 0.0
+    _, first, inverse = np.unique(flat.view(np.dtype((np.void, flat.itemsize * flat.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(len(order))
+    return first[order], number[inverse.ravel()]
+
+
+def audited(g: Graph, q: np.ndarray, same: np.ndarray, least: float) -> tuple[int, tuple[np.ndarray, np.ndarray] | None]:
+    """(beam, links): the first beam at which the recall, averaged over AUDIT queries with true links, is RECALL.
+
+    same is the node equal to each query, or -1, and is no link here. Queries are drawn in seeded order; if all
+    are drawn before AUDIT have links, the links found by brute force are whole, and returned."""
+    order = np.random.default_rng(11).permutation(len(q))
+    drawn, true_q, true_n, many = 0, [], [], 0
+    while drawn < len(q) and many < AUDIT:
+        some = order[drawn : drawn + STEP]
+        drawn += len(some)
+        r, c = np.nonzero(q[some] @ g.x.T >= least - 1e-4)
+        other = same[some[r]] != c
+        true_q.append(some[r[other]])
+        true_n.append(c[other])
+        many += len(np.unique(true_q[-1]))
+    true_q, true_n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (true_q, true_n))
+    if drawn == len(q):
+        return BEAM, (true_q, true_n)
+    asked, at, count = np.unique(true_q, return_inverse=True, return_counts=True)
+    truth, beam, n = true_q * len(g.x) + true_n, BEAM, len(g.x)
+    while 4 * beam < n:
+        a, b = g.links(q[asked], least, beam)
+        hit = np.isin(truth, asked[a] * n + b)
+        if (np.bincount(at, weights=hit) / count).mean() >= RECALL:
+            break
+        beam *= 2
+    return beam, None
+
+
 def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of df.
 
@@ -209,11 +250,12 @@ def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     def build(t: pa.Table) -> pa.Table:
         t = t.sort_by("rid")
         x = matrix(t.column("v"))
-        return pa.table({"label": t.column("label")[:1], "dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "blocks": t.column("blocks")[:1], "rids": [t.column("rid").to_numpy().tobytes()], "x": [x.tobytes()], "graph": [Graph(x).to_bytes()]})
+        first, node = distinct(x)
+        return pa.table({"label": t.column("label")[:1], "dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "blocks": t.column("blocks")[:1], "rids": [t.column("rid").to_numpy().tobytes()], "node": [node.tobytes()], "x": [x[first].tobytes()], "graph": [Graph(x[first]).to_bytes()]})
 
     kind = rows.schema["label"].dataType.simpleString()
     sharded = fit.withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("int"))
-    index = cut(sharded.groupBy("label", "dim", "shard").applyInArrow(build, f"label {kind}, dim int, shard int, blocks int, rids binary, x binary, graph binary"))
+    index = cut(sharded.groupBy("label", "dim", "shard").applyInArrow(build, f"label {kind}, dim int, shard int, blocks int, rids binary, node binary, x binary, graph binary"))
     asked = fit.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int")).withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).drop("shards", "blocks")
     served = index.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
 
@@ -221,31 +263,48 @@ def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
         out = {"rid": [], "n": [], "root": []}
         if left.num_rows and right.num_rows:
             rid, q = left.column("rid").to_numpy(), matrix(left.column("v"))
-            own = np.frombuffer(right.column("rids")[0].as_py(), np.int64)
-            x = np.frombuffer(right.column("x")[0].as_py(), np.float64).reshape(len(own), -1)
-            g, beam = Graph.of_bytes(x, right.column("graph")[0].as_py()), BEAM
+            own, node = (np.frombuffer(right.column(c)[0].as_py(), np.int64) for c in ("rids", "node"))
+            x = np.frombuffer(right.column("x")[0].as_py(), np.float64).reshape(int(node.max()) + 1, -1)
+            g = Graph.of_bytes(x, right.column("graph")[0].as_py())
+            copies, lead = np.bincount(node), own[np.unique(node, return_index=True)[1]]
+            first, which = distinct(q)
+            q, asker = q[first], rid[first]
+            at = {v.tobytes(): k for k, v in enumerate(x + 0.0)}
+            same = np.fromiter((at.get(v.tobytes(), -1) for v in q + 0.0), np.int64, len(q))
             q32 = q.astype(np.float32)
-            audit = np.unique(np.linspace(0, len(q) - 1, AUDIT).astype(int))
-            truth = q32[audit] @ g.x.T >= least - 1e-4
-            while 4 * beam < len(own):
-                a, b = g.links(q32[audit], least, beam)
-                hit = np.zeros(truth.shape, dtype=bool)
-                hit[a, b] = True
-                if (hit & truth).sum() >= RECALL * truth.sum():
-                    break
-                beam *= 2
-            n = np.zeros(len(q), dtype=np.int64)
+            beam, whole = audited(g, q32, same, least)
+            n = np.zeros(len(q), dtype=np.int64)  # links of a query, itself among them
             trees: list[tuple[np.ndarray, np.ndarray]] = []
-            for k in range(0, len(q), STEP):
-                a, b = g.links(q32[k : k + STEP], least, beam)
-                a += k
+
+            def take(a: np.ndarray, b: np.ndarray) -> None:
                 for m in range(0, len(a), 1 << 18):
                     i, j = a[m : m + (1 << 18)], b[m : m + (1 << 18)]
-                    ok = (np.einsum("rd,rd->r", q[i], x[j]) >= least) & (rid[i] != own[j])
+                    ok = np.einsum("rd,rd->r", q[i], x[j]) >= least
                     i, j = i[ok], j[ok]
-                    n += np.bincount(i, minlength=len(q))
-                    if len(i):
-                        trees.append(forest(rid[i], own[j]))
+                    n[:] += np.bincount(i, weights=copies[j], minlength=len(q)).astype(np.int64)
+                    i, j = asker[i], lead[j]
+                    if (i != j).any():
+                        trees.append(forest(i[i != j], j[i != j]))
+
+            if whole:
+                take(*whole)
+            else:
+                for k in range(0, len(q), STEP):
+                    a, b = g.links(q32[k : k + STEP], least, beam)
+                    a = a + k
+                    other = same[a] != b
+                    take(a[other], b[other])
+            equal = np.flatnonzero(same >= 0)
+            take(equal, same[equal])
+            order = np.argsort(own)
+            here = own[order[np.minimum(np.searchsorted(own[order], rid), len(own) - 1)]] == rid
+            linking = n > 0
+            # a query's copies link with the same vectors, and so do a node's, which it stands for
+            for a, b, ok in ((rid, asker[which], linking[which]), (own, lead[node], np.full(len(own), True))):
+                ok = ok & (a != b)
+                if ok.any():
+                    trees.append(forest(a[ok], b[ok]))
+            n = n[which] - (here & linking[which])
             some = np.flatnonzero(n)
             out["rid"] += rid[some].tolist()
             out["n"] += n[some].tolist()
