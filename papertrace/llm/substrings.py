@@ -160,7 +160,7 @@ def _unpack(data: bytes, parts: int) -> list[np.ndarray]:
 
 
 def shared_segments(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc, key, start, windows) of the segments of docs (doc, text) whose key occurs again.
+    """(rid, key, start, windows) of the segments of docs (rid, text) whose key occurs again.
 
     Keys travel with their places, packed by task and bucket. A key that a batch of documents holds twice is
     known to be repeated: its places are passed on at once and only one of them goes to its bucket, so a key
@@ -215,37 +215,38 @@ def shared_segments(docs: DataFrame, span: int = SPAN) -> DataFrame:
             hit = np.bincount(inverse, weights=twice)[inverse] > 1
             through.append([c[hit] for c in cols])
         cols = [np.concatenate([p[c] for p in through]) for c in range(4)]
-        return pa.table({"doc": cols[0], "key": cols[1], "start": cols[2], "windows": cols[3]})
+        return pa.table({"rid": cols[0], "key": cols[1], "start": cols[2], "windows": cols[3]})
 
-    dealt = docs.select("doc", "text").mapInArrow(deal, "bucket int, known boolean, places binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "doc long, key long, start long, windows long")
+    dealt = docs.select("rid", "text").mapInArrow(deal, "bucket int, known boolean, places binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "rid long, key long, start long, windows long")
 
 
 def repeats(docs: DataFrame, span: int = SPAN, key_segments: int = KEY_SEGMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc, start, windows, mask): segments of docs (doc, text, packed) with a bit for each window that has an
-    earlier place. Segments without such a window are left out."""
+    """(rid, start, windows, mask): segments of docs (rid, doc, text, packed) with a bit for each window that has
+    an earlier place. Segments without such a window are left out. rid tells different texts apart, and doc
+    orders them."""
     spark = ready(docs.sparkSession)
-    places = shared_segments(docs, span).groupBy("doc").agg(F.collect_list(F.struct("key", "start", "windows")).alias("places"))
+    places = shared_segments(docs, span).groupBy("rid").agg(F.collect_set(F.struct("key", "start", "windows")).alias("places"))
 
-    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("digest", pa.binary()), ("content", pa.binary())])
+    schema = pa.schema([("rid", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("digest", pa.binary()), ("content", pa.binary())])
 
     def fetch(batches):
         unzip, digest = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
         for batch in batches:
             out = {f.name: [] for f in schema}
-            for d, data, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for r, d, data, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 words = words_of(unzip.decompress(data))
                 for p in found:
                     content = b" ".join(words[p["start"] : p["start"] + p["windows"] + span - 1])
-                    for name, x in (("doc", d), ("key", p["key"]), ("start", p["start"]), ("windows", p["windows"]), ("digest", digest(content)), ("content", content)):
+                    for name, x in (("rid", r), ("doc", d), ("key", p["key"]), ("start", p["start"]), ("windows", p["windows"]), ("digest", digest(content)), ("content", content)):
                         out[name].append(x)
                 if len(out["doc"]) > 20_000:
                     yield pa.RecordBatch.from_pydict(out, schema=schema)
                     out = {f.name: [] for f in schema}
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    kinds = "doc long, key long, start long, windows long, digest binary, content binary"
-    held = cut(docs.select("doc", "packed").join(places, "doc").select("doc", "packed", "places").mapInArrow(fetch, kinds))
+    kinds = "rid long, doc long, key long, start long, windows long, digest binary, content binary"
+    held = cut(docs.select("rid", "doc", "packed").join(places, "rid").select("rid", "doc", "packed", "places").mapInArrow(fetch, kinds))
     hot = held.select("key", "digest").distinct().groupBy("key").count().where(F.col("count") > key_segments).select("key")
     hot = cut(hot, 1)
     if hot.limit(1).count():
@@ -253,9 +254,9 @@ def repeats(docs: DataFrame, span: int = SPAN, key_segments: int = KEY_SEGMENTS,
         single = held.join(hot, "key", "left_semi").withColumn("_w", pieces).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1)))
         single = single.withColumn("content", F.encode(F.array_join(F.slice("_w", (F.col("_k") + 1).cast("int"), F.lit(span)), " "), "UTF-8"))
         digest = F.unhex(F.md5("content"))
-        single = single.select("doc", F.xxhash64("content").alias("key"), (F.col("start") + F.col("_k")).alias("start"), F.lit(1).cast("long").alias("windows"), digest.alias("digest"), "content")
+        single = single.select("rid", "doc", F.xxhash64("content").alias("key"), (F.col("start") + F.col("_k")).alias("start"), F.lit(1).cast("long").alias("windows"), digest.alias("digest"), "content")
         held = cut(held.join(hot, "key", "left_anti").select(single.columns).union(single))
-    place = F.struct("doc", "start")
+    place = F.struct("doc", "start", "rid")
     distinct = cut(held.groupBy("key", "digest").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("windows").alias("windows"), F.first("content").alias("content")))
     size = distinct.agg(F.coalesce(F.sum(F.col("windows") + span), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_words))
@@ -264,16 +265,19 @@ def repeats(docs: DataFrame, span: int = SPAN, key_segments: int = KEY_SEGMENTS,
         doc, start = t.column("doc").to_numpy(), t.column("start").to_numpy()
         found = repeated([c.split(b" ") for c in t.column("content").to_pylist()], doc, start, span)
         mask = [int(sum(1 << i for i in np.flatnonzero(f).tolist())) for f in found]
-        out = pa.table({"doc": doc, "start": start, "windows": t.column("windows"), "mask": pa.array(mask, pa.int64())})
+        out = pa.table({"rid": t.column("rid"), "start": start, "windows": t.column("windows"), "mask": pa.array(mask, pa.int64())})
         return out.filter(pa.compute.greater(out.column("mask"), 0))
 
-    by_shard = distinct.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.col("low.doc").alias("doc"), F.col("low.start").alias("start"), "windows", "content")
-    firsts = by_shard.groupBy("shard").applyInArrow(search, "doc long, start long, windows long, mask long")
-    # where a segment as a whole stands earlier, all its windows do
+    by_shard = distinct.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.col("low.rid").alias("rid"), F.col("low.doc").alias("doc"), F.col("low.start").alias("start"), "windows", "content")
+    firsts = cut(by_shard.groupBy("shard").applyInArrow(search, "rid long, start long, windows long, mask long"))
+    # where a segment as a whole stands earlier, all its windows do; at the first place in a text of another
+    # row with the same doc, the same windows do as in the first
     lows = distinct.where("low <> high").select("key", "digest", "low")
-    later = held.select("doc", "key", "start", "windows", "digest").join(lows, ["key", "digest"]).where(F.struct("doc", "start") > F.col("low"))
-    later = later.select("doc", "start", "windows", F.expr("shiftleft(1L, cast(windows as int)) - 1").alias("mask"))
-    return firsts.union(later)
+    others = held.select("rid", "doc", "key", "start", "windows", "digest").join(lows, ["key", "digest"]).where("rid <> low.rid or start <> low.start or doc <> low.doc")
+    others = others.select("rid", "start", "windows", F.col("low.rid").alias("_rid"), ((F.col("doc") == F.col("low.doc")) & (F.col("start") == F.col("low.start"))).alias("_first"))
+    later = others.where("not _first").select("rid", "start", "windows", F.expr("shiftleft(1L, cast(windows as int)) - 1").alias("mask"))
+    twins = others.where("_first").select("rid", "start", "_rid").join(firsts.withColumnRenamed("rid", "_rid"), ["_rid", "start"])
+    return firsts.union(later).union(twins.select("rid", "start", "windows", "mask"))
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, key_segments: int = KEY_SEGMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -281,7 +285,8 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span:
     window of `span` words whose sequence also starts earlier, joined by one space.
 
     Earlier is a smaller doc_id (null before all), or an earlier word of the same document; rows that share a
-    doc_id are versions of one document, in which equal starts are equal places. Windows are judged on the
+    doc_id are versions of one document, in which equal starts are equal places, but each text loses its own
+    repeated windows only. Texts are told apart by a 64-bit hash of doc_id and text. Windows are judged on the
     input. Null, empty and short texts (below `span` words) lose nothing. No rows, no result; other columns
     are ignored."""
     ready(df.sparkSession)
@@ -291,9 +296,9 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span:
         zip_ = zstandard.ZstdCompressor(level=3)
         return pa.array([zip_.compress(x.as_py()) for x in a.cast(pa.binary())], pa.binary())
 
-    rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    found = repeats(rows.select("doc", "text", packed("text").alias("packed")), span, key_segments, shard_words)
-    found = found.groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
+    rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), text_of(text).alias("text")).withColumn("rid", F.xxhash64("doc", "text"))
+    found = repeats(rows.select("rid", "doc", "text", packed("text").alias("packed")), span, key_segments, shard_words)
+    found = found.groupBy("rid").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
     out_schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def remove(batches):
@@ -318,7 +323,7 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span:
                 out["kept"].append(b" ".join(kept).decode())
             yield pa.RecordBatch.from_pydict(out, schema=out_schema)
 
-    light = rows.select("doc", "doc_id", packed("text").alias("packed")).join(found, "doc", "left").select("doc", "packed", "found")
+    light = rows.select("rid", "doc", packed("text").alias("packed")).join(found, "rid", "left").select("doc", "packed", "found")
     done = light.mapInArrow(remove, "doc long, n_words long, n_removed long, kept string")
     kind = df.schema[doc_id].dataType
     return done.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(kind).alias("doc_id"), "n_words", "n_removed", "kept")
