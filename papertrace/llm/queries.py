@@ -58,8 +58,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shards(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), scratch(spark)
+    sharding.write(docs, path)
+    out, text = sharding.read(spark, path, docs), F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ curve, and runs of near equal bytes are cut. A filter on any of the dimensions t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, unused
 from .order import running_totals
 
 #: Bits of each dimension.
@@ -76,3 +76,42 @@ def shards(df: DataFrame, count: int = 40, doc_id: str = "doc_id", text: str = "
     first = run.groupBy("shard").agg(F.min("_place").alias("_first"))  # a row per shard
     run = run.join(F.broadcast(first), "shard")
     return run.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("_place") - F.col("_first")).cast("long").alias("slot"))
+
+
+#: Columns that write() adds: what a row is ordered by, its place in its task, and its shard.
+OWN = ("_size", "_crc32", "_curve", "_at", "_shard")
+
+
+def write(df: DataFrame, path: str, count: int = 40, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> None:
+    """Write df's rows with their texts as `count` Parquet files along the curve, cut as by shards(), to
+    path/rows; and to path/bounds a row per file: rows, bytes, and least and greatest language, source, size
+    and place on the curve, by which a filter picks files.
+
+    df is read twice, and fully equal rows are told apart by their order of reading; its columns are kept as
+    they are. No rows, no files. JVM only."""
+    spark, (size, crc, curve, at, shard), (tie, cuts) = df.sparkSession, unused(df, *OWN), unused(df, "_tie", "_cuts")
+    by = [curve, doc_id, size, crc, tie]
+    rows = df.withColumns({size: (F.octet_length(text_of(text)) + 16).cast("long"), crc: F.crc32(text_of(text)).cast("long"), tie: F.monotonically_increasing_id()})
+    rows = rows.withColumn(curve, hilbert(quantised(F.col(lang), F.col(source), F.col(size))))
+    run = running_totals(rows.select(*by), by, size, "_before", "_place")
+    total = run.agg(F.sum(size).cast("double").alias("_total"))
+    run = run.join(F.broadcast(total)).withColumn(shard, F.least(F.lit(count - 1), F.floor((F.col("_before") + F.col(size) / 2) * count / F.col("_total"))).cast("int"))
+    first = run.groupBy(shard).agg(F.min(F.struct(*by)).alias("key"))  # a row per shard, at most `count`
+    first = first.agg(F.array_sort(F.collect_list(F.struct(F.col(shard).alias("shard"), "key"))).alias(cuts))
+    rows = rows.join(F.broadcast(first)).withColumn(shard, F.element_at(F.filter(cuts, lambda x: x["key"] <= F.struct(*by)), -1)["shard"]).drop(cuts)
+    rows = rows.repartition(count, shard).sortWithinPartitions(shard, *by)
+    rows = rows.withColumn(at, F.monotonically_increasing_id()).drop(tie)  # rises along a shard, which is in one task
+    rows.write.partitionBy(shard).option("compression", "zstd").parquet(f"{path}/rows")
+    back = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    ends = [f(F.col(c)).alias(f"{n}_{k}") for k, c in (("lang", lang), ("source", source), ("size", size), ("curve", curve)) for n, f in (("min", F.min), ("max", F.max))]
+    back.groupBy(F.col(shard).alias("shard")).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"), F.min(at).alias("first"), *ends).coalesce(1).write.parquet(f"{path}/bounds")
+
+
+def read(spark: SparkSession, path: str, of: DataFrame) -> DataFrame:
+    """What write() wrote of a table with the columns of `of`: those, and shard and slot, the row's number along
+    its shard's file from 0."""
+    at, shard = unused(of, *OWN)[3:]
+    rows = spark.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in of.dtypes)}, `{at}` long, `{shard}` int").parquet(f"{path}/rows")
+    bounds = spark.read.schema("shard int, first long").parquet(f"{path}/bounds").withColumnsRenamed({"shard": "_s", "first": "_f"})
+    rows = rows.join(F.broadcast(bounds), F.col(shard) == F.col("_s"))  # a row per shard
+    return rows.select(*of.columns, F.col("_s").alias("shard"), (F.col(at) - F.col("_f")).cast("long").alias("slot"))
