@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# What grading by these rules means; patterns and character lists must be exactly these.
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -22,8 +23,8 @@ _BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 NEGATIVE = r"(?U)\A\(\s*\$?\s*([\d,. ]*\d[\d,. ]*)\s*\)\z"
 #: What counts as numeric for regrouped digits and for the family of look-alikes.
 NUMERIC = r"(?U)^-?[\d ,]+(?:\.\d+)?$"
-#: Digit groups after the first that join_thousands() joins at most.
-GROUPS = 8
+#: A run of digit groups that is one figure: no digit or decimal part follows it.
+RUN = r"(?U)\b\d{1,3}(?: \d{3})+(?![.,]?\d)"
 
 
 def _c(col: str | Column) -> Column:
@@ -48,13 +49,20 @@ def strip(col: str | Column) -> Column:
     return F.regexp_replace(_c(col), _EDGES, "")
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def join_thousands(col: str | Column) -> Column:
-    """"132 434 809" as one number: one to three digits and groups of exactly three, one space apart, unless
-    digits or a decimal part follow. Longest runs first, so that a shorter run never splits a longer one."""
-    c = _c(col)
-    for k in range(GROUPS, 0, -1):
-        c = F.regexp_replace(c, r"(?U)\b(\d{1,3})" + r" (\d{3})" * k + r"(?![.,]?\d)", "".join(f"${i}" for i in range(1, k + 2)))
-    return c
+    """"132 434 809" as one number: one to three digits and any number of groups of exactly three, one space
+    apart, unless digits or a decimal part follow. Runs are taken out, joined, and put back between the rest."""
+
+    def joined(t: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), lambda r: F.replace(r, F.lit(" "), F.lit("")))
+        return F.array_join(F.zip_with(F.split(t, RUN, -1), runs, lambda a, r: F.concat(a, F.coalesce(r, F.lit("")))), "")
+
+    return bind(_c(col), lambda t: F.when(t.rlike(RUN), joined(t)).otherwise(t))
 
 
 def fold_layout(col: str | Column) -> Column:
@@ -93,11 +101,6 @@ def _plain(c: Column) -> Column:
     return F.ltrim(F.rtrim(F.ltrim(c, F.lit("+")), F.lit(").")), F.lit("("))
 
 
-def bind(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f(c) with c evaluated once, however often f uses it."""
-    return F.get(F.transform(F.array(c), f), 0)
-
-
 def canon(col: str | Column) -> Column:
     """A value without formatting that carries no information; its sign stays, wrapped figures get theirs."""
     inner = lambda t: F.regexp_extract(t, NEGATIVE, 1)

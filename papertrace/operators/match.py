@@ -1,7 +1,8 @@
 """Matching printed values to extracted text, whole pages at a time, with higher-order functions.
 
-A page keeps its lines and tokens as arrays with all normal forms computed once. Fields are matched inside the
-page's row, so nothing is shuffled per field; only misses are taken apart further.
+A page keeps its lines and tokens as arrays with all normal forms computed once: each step is bound to a lambda
+variable, so that the optimiser can't put it in place of every use. Fields are matched inside the page's row by
+look-ups in arrays of strings, so nothing is shuffled per field; only misses are taken apart further.
 """
 
 from __future__ import annotations
@@ -17,9 +18,16 @@ from ..functions import text as T
 BLOCK = 4
 
 
-def token_forms(line: Column) -> Column:
-    """The tokens of a line with the forms in which they may match."""
-    return F.transform(T.tokens(line), lambda t: F.struct(t.alias("raw"), F.lower(t).alias("low"), T.nocomma(F.lower(t)).alias("bare"), T.canon(t).alias("canon")))
+def token_forms(line: Column, prose_parens: bool = False) -> Column:
+    """The tokens of a line with the forms in which they may match. With prose_parens a sum in dollars that
+    parentheses wrap is an aside, not a loss."""
+
+    def canon(t: Column) -> Column:
+        if not prose_parens:
+            return T.canon(t)
+        return T.canon(F.when(t.rlike(T.NEGATIVE) & F.contains(t, F.lit("$")), F.translate(t, "()", "")).otherwise(t))
+
+    return F.transform(T.tokens(line), lambda t: F.struct(t.alias("raw"), F.lower(t).alias("low"), T.nocomma(F.lower(t)).alias("bare"), canon(t).alias("canon")))
 
 
 def value_forms(printed: Column, folded: Column) -> Column:
@@ -30,41 +38,58 @@ def value_forms(printed: Column, folded: Column) -> Column:
     )
 
 
-def concat_match(canon: Column, forms: Column) -> Column:
-    """Whether up to four adjacent tokens add up to a figure of at least four digits: regrouped digits."""
-    at = F.sequence(F.lit(1), F.size(forms))
-    joined = lambda i, k: F.array_join(F.transform(F.slice(forms, i, k), lambda t: t["canon"]), "")
-    some = F.exists(at, lambda i: F.exists(F.array(*(F.lit(k) for k in range(1, 5))), lambda k: joined(i, k) == canon))
-    return (F.length(F.ltrim(canon, F.lit("-"))) >= 4) & (F.size(forms) > 0) & some
+def scope(lows: Column, toks: Column) -> Column:
+    """What values are looked for in: lines in lower case, the forms of their tokens as arrays of strings, and
+    for each token what it and the next one, two or three add up to (at the end of the scope, what is left)."""
+    forms = {n: F.transform(toks, lambda t: t[n]) for n in ("low", "bare", "canon")}  # noqa: B023
+    joined = lambda c, k: F.transform(c, lambda x, i: F.concat(x, *(F.coalesce(F.get(c, i + j), F.lit("")) for j in range(1, k + 1))))
+    return T.bind(forms["canon"], lambda c: F.struct(lows.alias("lows"), forms["low"].alias("low"), forms["bare"].alias("bare"), c.alias("canon"), *(joined(c, k).alias(f"canon{k + 1}") for k in (1, 2, 3))))
+
+
+def within(s: Column, lo: Column, n: Column, at: Column, m: Column) -> Column:
+    """The part of scope s with `n` lines from line `lo` (from 0), whose `m` tokens begin at token `at`."""
+    cut = lambda name, less: F.slice(s[name], at + 1, F.greatest(m - less, F.lit(0))).alias(name)
+    return F.struct(F.slice(s["lows"], lo + 1, n).alias("lows"), cut("low", 0), cut("bare", 0), cut("canon", 0), cut("canon2", 1), cut("canon3", 2), cut("canon4", 3))
+
 
+def concat_match(canon: Column, s: Column) -> Column:
+    """Whether two to four adjacent tokens of scope s add up to a figure of at least four digits: regrouped
+    digits."""
+    return (F.length(F.ltrim(canon, F.lit("-"))) >= 4) & (F.array_contains(s["canon2"], canon) | F.array_contains(s["canon3"], canon) | F.array_contains(s["canon4"], canon))
 
-def token_match(v: Column, forms: Column) -> Column:
-    own = F.exists(forms, lambda t: (t["low"] == v["low"]) | (t["bare"] == v["bare"]) | (t["canon"] == v["canon"]))
-    return F.when(own, True).when(v["numeric"], concat_match(v["canon"], forms)).otherwise(False)
+
+def token_match(v: Column, s: Column) -> Column:
+    own = F.array_contains(s["canon"], v["canon"]) | F.array_contains(s["low"], v["low"]) | F.array_contains(s["bare"], v["bare"])
+    return own | (v["numeric"] & concat_match(v["canon"], s))
 
 
 def substr_match(v: Column, lows: Column) -> Column:
     return F.exists(lows, lambda x: F.contains(x, v["part"]))
 
 
-def found(v: Column, lows: Column, forms: Column) -> Column:
-    """Whether a value stands in lines (lower case) or their tokens."""
-    at = F.struct(lows.alias("lows"), forms.alias("forms"))
-    return T.bind(at, lambda b: F.when(v["multi"], substr_match(v, b["lows"])).otherwise(token_match(v, b["forms"])))
+def found(v: Column, s: Column) -> Column:
+    """Whether a value stands in the lines or tokens of scope s."""
+    return F.coalesce(F.when(v["multi"], substr_match(v, s["lows"])).otherwise(token_match(v, s)), F.lit(False))
+
 
+def _lines(page: Column, lo: Column, n: Column) -> Column:
+    """The scope of `n` lines of a page from line `lo`."""
+    at = F.get(page["off"], lo)
+    return within(page["scope"], lo, n, at, F.get(page["off"], F.least(lo + n, F.size(page["lines"]))) - at)
 
-def anchors(rows: Column, lows: Column, forms: Column) -> Column:
+
+def anchors(rows: Column, page: Column) -> Column:
     """For each table row, in order, the line (from 0) that it starts at, or -1: of the lines not yet taken
     that hold its anchor the first of those whose window of BLOCK lines holds most of its other cells."""
-    window = lambda a, n: F.slice(a, n + 1, F.lit(BLOCK))
+    every = F.when(F.size(page["lines"]) > 0, F.sequence(F.lit(0), F.size(page["lines"]) - 1)).otherwise(F.array().cast("array<int>"))
 
     def one(used: Column, row: Column) -> Column:
         cells = F.filter(row["cells"], lambda c: c["printed"] != row["anchor"]["printed"])
-        lines = F.when(F.size(lows) > 0, F.sequence(F.lit(0), F.size(lows) - 1)).otherwise(F.array().cast("array<int>"))
-        here = F.filter(lines, lambda n: ~F.array_contains(used, n) & found(row["anchor"], F.slice(lows, n + 1, F.lit(1)), F.get(forms, n)))
-        score = lambda n: F.size(F.filter(cells, lambda c: found(c, window(lows, n), F.flatten(window(forms, n)))))
-        best = F.array_max(F.transform(here, lambda n: F.struct(score(n).alias("s"), (-n).alias("n"))))
-        return F.concat(used, F.array(F.coalesce(-best["n"], F.lit(-1))))
+        here = F.filter(every, lambda n: ~F.array_contains(used, n) & found(row["anchor"], _lines(page, n, F.lit(1))))
+        score = lambda n: T.bind(_lines(page, n, F.lit(BLOCK)), lambda w: F.size(F.filter(cells, lambda c: found(c, w))))
+        best = T.bind(here, lambda h: F.when(F.size(h) > 1, -F.array_max(F.transform(h, lambda n: F.struct(score(n).alias("s"), (-n).alias("n"))))["n"]).otherwise(F.get(h, 0)))
+        # a row whose anchor stands nowhere on the page has no line to look for
+        return F.concat(used, F.array(F.when(found(row["anchor"], page["scope"]), F.coalesce(best, F.lit(-1))).otherwise(F.lit(-1))))
 
     return F.aggregate(rows, F.array().cast("array<int>"), one)
 
@@ -72,9 +97,9 @@ def anchors(rows: Column, lows: Column, forms: Column) -> Column:
 def blocks(taken: Column, n_lines: Column) -> Column:
     """For each row (from, length) of its block: up to the next row's line, BLOCK lines at most; length 0
     where it has no line."""
-    nxt = lambda n: F.array_min(F.filter(taken, lambda m: m > n))
-    size = lambda n: F.greatest(F.lit(1), F.least(F.coalesce(nxt(n), n_lines), n_lines, n + BLOCK) - n)
-    return F.transform(taken, lambda n: F.struct(F.greatest(n, F.lit(0)).alias("lo"), F.when(n < 0, 0).otherwise(size(n)).alias("len")))
+    nxt = lambda t, n: F.array_min(F.filter(t, lambda m: m > n))
+    size = lambda t, n: F.greatest(F.lit(1), F.least(F.coalesce(nxt(t, n), n_lines), n_lines, n + BLOCK) - n)
+    return T.bind(taken, lambda t: F.transform(t, lambda n: F.struct(F.greatest(n, F.lit(0)).alias("lo"), F.when(n < 0, 0).otherwise(size(t, n)).alias("len"))))
 
 
 @F.arrow_udf(ArrayType(StringType()))
@@ -97,10 +122,14 @@ def mask_claimed(lines: pa.Array, others: pa.Array) -> pa.Array:
     return pa.array([None if x is None else [one(s, v or []) for s in x] for x, v in zip(lines.to_pylist(), others.to_pylist())], pa.list_(pa.string()))
 
 
-def nearest_token(v: Column, forms: Column, claimed: Column) -> Column:
+def nearest_token(v: Column, toks: Column, claimed: Column) -> Column:
     """(d, pos, raw) of the first token nearest to a value by edit distance, among those of nearly its length
     that are no other field's value."""
-    near = F.filter(forms, lambda t: (t["canon"] != "") & (F.abs(F.length(t["canon"]) - F.length(v["canon"])) <= 1) & ~F.array_contains(claimed, t["canon"]))
+    near = F.filter(toks, lambda t: (t["canon"] != "") & (F.abs(F.length(t["canon"]) - F.length(v["canon"])) <= 1) & ~F.array_contains(claimed, t["canon"]))
+    return _nearest(v, near)
+
+
+def _nearest(v: Column, near: Column) -> Column:
     return F.array_min(F.transform(near, lambda t, i: F.struct(F.levenshtein(t["canon"], v["canon"]).alias("d"), i.alias("pos"), t["raw"].alias("raw"))))
 
 
@@ -146,55 +175,80 @@ def labels(truth: DataFrame) -> DataFrame:
     return out.select("doc_id", "fields", rows.alias("rows"), claimed_forms(F.transform("fields", lambda f: f["forms"]), part_forms).alias("claimed"))
 
 
-def pages(texts: DataFrame) -> DataFrame:
-    """texts (with column text) with its lines, their lower case, and their token forms."""
-    df = texts.withColumn("lines", T.lines(T.fold("text"))).drop("text")
-    return df.withColumn("lows", F.transform("lines", lambda x: F.lower(x))).withColumn("forms", F.transform("lines", token_forms))
+def pages(texts: DataFrame, prose_parens: bool = False) -> DataFrame:
+    """texts with its column text replaced by `page`: lines, tokens by line, and all that they are matched by,
+    each made once."""
+
+    def of_lines(lines: Column) -> Column:
+        return T.bind(F.transform(lines, lambda x: token_forms(x, prose_parens)), lambda toks: with_tokens(lines, toks))
+
+    def with_tokens(lines: Column, toks: Column) -> Column:
+        lows = F.transform(lines, lambda x: F.lower(x))
+        ends = F.aggregate(toks, F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.size(t))))
+        return T.bind(F.flatten(toks), lambda flat: F.struct(lines.alias("lines"), flat.alias("toks"), ends.alias("off"), scope(lows, flat).alias("scope")))
 
+    return texts.withColumn("page", T.bind(T.lines(T.fold("text")), of_lines)).drop("text")
 
-def verdicts(texts: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("parser", "doc_id", "dpi")) -> DataFrame:
+
+def verdicts(texts: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("parser", "doc_id", "dpi"), prose_parens: bool = False) -> DataFrame:
     """(keys, field, printed, status, got, distance, typed, rows_anchored, n_rows): one row per label field and
     page. texts has the keys and text, one of the keys is doc_id; truth has doc_id, printed and rows.
 
     A field is OK where it stands in its row's block (scalars, and cells of rows without one: on the page),
     MISPLACED where a cell stands on the page but not in its block, CORRUPT where a look-alike near enough
-    took its place (typed: one that would pass for a value), else ABSENT."""
-    p = pages(texts).join(labels(truth), "doc_id")
-    p = p.withColumn("blocks", blocks(anchors(F.col("rows"), F.col("lows"), F.col("forms")), F.size("lines"))).withColumn("toks", F.flatten("forms"))
-    p = p.withColumn("rows_anchored", F.size(F.filter("blocks", lambda b: b["len"] > 0))).withColumn("n_rows", F.size("rows"))
+    took its place (typed: one that would pass for a value), else ABSENT.
 
-    def judge(f: Column) -> Column:
-        b = F.get(F.col("blocks"), f["row"])
-        scoped = F.coalesce((f["row"] >= 0) & (b["len"] > 0), F.lit(False))
-        cut = lambda a: F.slice(F.col(a), b["lo"] + 1, b["len"])
-        page = found(f["forms"], F.col("lows"), F.col("toks"))
-        here = F.when(scoped, found(f["forms"], cut("lows"), F.flatten(cut("forms")))).otherwise(page)
-        status = F.when(here, "OK").when(scoped & page, "MISPLACED").otherwise("MISS")
-        return F.struct(f["field"].alias("field"), f["forms"].alias("v"), scoped.alias("scoped"), F.when(scoped, b["lo"]).otherwise(0).alias("lo"), F.when(scoped, b["len"]).otherwise(F.size("lines")).alias("len"), status.alias("status"))
-
-    # a field's row carries the lines and tokens of its scope only where it missed
-    def with_scope(f: Column) -> Column:
-        missed, own = f["status"] == "MISS", lambda a: F.slice(F.col(a), f["lo"] + 1, f["len"])
-        return F.struct(f.alias("f"), F.when(missed, own("lines")).alias("scope"), F.when(missed, F.flatten(own("forms"))).alias("toks"))
-
-    p = p.withColumn("found", F.transform("fields", judge)).withColumn("found", F.transform("found", with_scope))
+    prose_parens reads "($2,562,146)" in a sentence as that sum; by default it is a loss, as in a table."""
+    p = pages(texts, prose_parens).join(labels(truth), "doc_id")
+    # what is made of a page and its labels, in one expression: every part of it is bound, none is made again
+    judged = T.bind(F.struct(F.col("page"), F.col("fields"), F.col("rows"), F.col("claimed")), lambda b: T.bind(blocks(anchors(b["rows"], b["page"]), F.size(b["page"]["lines"])), lambda at: _judged(b["page"], b["fields"], b["claimed"], at)))
     every = F.transform("fields", lambda f: f["forms"]["low"])
-    each = p.select(*keys, "rows_anchored", "n_rows", "claimed", every.alias("every"), F.explode("found").alias("x")).select(*keys, "rows_anchored", "n_rows", "claimed", "every", "x.*")
+    each = p.select(*keys, F.size("rows").alias("n_rows"), every.alias("every"), judged.alias("j")).select(*keys, "n_rows", "every", F.col("j.rows_anchored").alias("rows_anchored"), F.explode("j.found").alias("x"))
+    each = each.select(*keys, "rows_anchored", "n_rows", "every", "x.*")
     v = F.col("f.v")
     mine = F.array(v["low"], v["bare"], v["canon"])
-    missed, prose = F.col("f.status") == "MISS", T.shape(v["printed"]) == "text"
-    short = (F.length(v["printed"]) < 3) & ~F.col("f.scoped") & ~prose
-    each = each.withColumn("_prose", missed & prose).withColumn("_token", missed & ~prose & ~short)
-    each = each.withColumn("_masked", mask_claimed(F.when(F.col("_prose"), F.col("scope")), F.when(F.col("_prose"), F.array_except("every", mine))))
-    window = F.when(F.col("_prose"), nearest_window(v, F.col("scope"), F.col("_masked")))
-    token = F.when(F.col("_token"), T.bind(F.struct(F.col("toks").alias("t"), F.array_except("claimed", mine).alias("o")), lambda b: nearest_token(v, b["t"], b["o"])))
-    each = each.withColumn("_w", window).withColumn("_t", token)
-    near = each.select(*keys, "f", "_prose", F.coalesce("_w.d", "_t.d").alias("d"), F.coalesce("_w.raw", "_t.raw").alias("raw"), "rows_anchored", "n_rows")
+    missed = F.col("f.status") == "MISS"
+    each = each.withColumn("_prose", F.col("lines").isNotNull()).withColumn("_masked", mask_claimed(F.col("lines"), F.when(F.col("lines").isNotNull(), F.array_except("every", mine))))
+    window = F.when(F.col("_prose"), nearest_window(v, F.col("lines"), F.col("_masked")))
+    near = each.select(*keys, "f", "_prose", F.when(F.col("_prose"), F.struct(window["d"].alias("d"), window["raw"].alias("raw"))).otherwise(F.col("token")).alias("n"), "rows_anchored", "n_rows")
+    near = near.select(*keys, "f", "_prose", F.col("n.d").alias("d"), F.col("n.raw").alias("raw"), "rows_anchored", "n_rows")
     limit = F.when(F.col("_prose"), F.greatest(F.lit(1), F.floor(F.length(v["printed"]) / 4))).otherwise(F.greatest(F.lit(1), F.floor(F.length(v["canon"]) / 3)))
-    missed, moved = F.col("f.status") == "MISS", F.col("f.status") == "MISPLACED"
+    moved = F.col("f.status") == "MISPLACED"
     corrupt = missed & F.coalesce(F.col("d") <= limit, F.lit(False))
     told = F.col("_prose") | F.coalesce(F.col("d") <= 2 * limit, F.lit(False))
     status = F.when(corrupt, "CORRUPT").when(missed, "ABSENT").otherwise(F.col("f.status"))
     got = F.when(moved, v["printed"]).when(missed & told, F.col("raw"))
     typed = F.when(corrupt, T.stays_in_alphabet(v["printed"], F.col("raw")))
     return near.select(*keys, "f.field", v["printed"].alias("printed"), status.alias("status"), got.alias("got"), F.when(moved, 0).otherwise(F.col("d")).alias("distance"), typed.alias("typed"), "rows_anchored", "n_rows")
+
+
+def _judged(page: Column, fields: Column, claimed: Column, at: Column) -> Column:
+    """(found, rows_anchored) of a page whose rows' blocks are `at`; found has per field f (field, v, scoped,
+    status), for a missed word or figure the nearest token (d, raw), for missed prose the lines of its scope."""
+    free = F.filter(F.transform(page["toks"], lambda t, i: F.struct(i.alias("pos"), t["raw"].alias("raw"), t["canon"].alias("canon"), (~F.array_contains(claimed, t["canon"])).alias("free"))), lambda t: t["canon"] != "")
+
+    def judge(free: Column, f: Column) -> Column:
+        b = F.get(at, f["row"])
+        scoped = F.coalesce((f["row"] >= 0) & (b["len"] > 0), F.lit(False))
+        status = (
+            F.when(~scoped & found(f["forms"], page["scope"]), "OK")
+            .when(~scoped, "MISS")
+            .when(T.bind(_lines(page, b["lo"], b["len"]), lambda w: found(f["forms"], w)), "OK")
+            .when(found(f["forms"], page["scope"]), "MISPLACED")
+            .otherwise("MISS")
+        )
+        part = F.struct(f["field"].alias("field"), f["forms"].alias("v"), scoped.alias("scoped"), status.alias("status"))
+        return T.bind(part, lambda x: F.struct(x.alias("f"), F.when(x["status"] == "MISS", token(free, x, b)).alias("token"), F.when((x["status"] == "MISS") & (T.shape(x["v"]["printed"]) == "text"), F.when(x["scoped"], F.slice(page["lines"], b["lo"] + 1, b["len"])).otherwise(page["lines"])).alias("lines")))
+
+    def token(free: Column, x: Column, b: Column) -> Column:
+        v, mine = x["v"], F.array(x["v"]["low"], x["v"]["bare"], x["v"]["canon"])
+        lo = F.get(page["off"], b["lo"])
+        hi = F.get(page["off"], F.least(b["lo"] + b["len"], F.size(page["lines"])))
+        inside = lambda t: ~x["scoped"] | (lo == hi) | ((t["pos"] >= lo) & (t["pos"] < hi))
+        near = F.filter(free, lambda t: (F.abs(F.length(t["canon"]) - F.length(v["canon"])) <= 1) & (t["free"] | F.array_contains(mine, t["canon"])) & inside(t))
+        best = F.array_min(F.transform(near, lambda t: F.struct(F.levenshtein(t["canon"], v["canon"]).alias("d"), t["pos"].alias("pos"), t["raw"].alias("raw"))))
+        short = (F.length(v["printed"]) < 3) & ~x["scoped"]
+        return F.when((T.shape(v["printed"]) != "text") & ~short, T.bind(best, lambda n: F.struct(n["d"].alias("d"), n["raw"].alias("raw"))))
+
+    anchored = F.size(F.filter(at, lambda b: b["len"] > 0))
+    return T.bind(free, lambda fr: F.struct(F.transform(fields, lambda f: judge(fr, f)).alias("found"), anchored.alias("rows_anchored")))
