@@ -134,16 +134,23 @@ def _nearest(v: Column, near: Column) -> Column:
 
 
 def nearest_window(v: Column, lines: Column, masked: Column) -> Column:
-    """(d, line, at, raw) of the first stretch of a value's length nearest to it, among those with a character
-    that is no other field's."""
+    """(d, raw) of the first stretch of a value's length nearest to it, among those with a character that is
+    no other field's; null without one. The least distance so far bounds the next comparison."""
     width = F.length(v["printed"])
+    none = F.struct(F.lit(1 << 30).alias("d"), F.lit(None).cast("string").alias("raw"))
 
-    def of_line(line: Column, k: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(line) - width))
-        own = F.filter(starts, lambda s: F.translate(F.substring(F.get(masked, k), s + 1, width), "\0 \t", "") != "")
-        return F.transform(own, lambda s: F.struct(F.levenshtein(F.lower(F.substring(line, s + 1, width)), v["low"]).alias("d"), k.alias("line"), s.alias("at"), F.substring(line, s + 1, width).alias("raw")))
+    def better(line: Column, best: Column, s: Column) -> Column:
+        raw = F.substring(line, s + 1, width)
+        d = lambda r: F.call_function("levenshtein", F.lower(r), v["low"], best["d"] - 1)
+        return T.bind(raw, lambda r: T.bind(d(r), lambda n: F.when(n >= 0, F.struct(n.alias("d"), r.alias("raw"))).otherwise(best)))
 
-    return F.array_min(F.flatten(F.transform(lines, of_line)))
+    def of_line(best: Column, pair: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(pair["line"]) - width))
+        own = F.filter(starts, lambda s: F.translate(F.substring(pair["masked"], s + 1, width), "\0 \t", "") != "")
+        return F.aggregate(own, best, lambda acc, s: F.when(acc["d"] == 0, acc).otherwise(better(pair["line"], acc, s)))
+
+    pairs = F.zip_with(lines, masked, lambda x, m: F.struct(x.alias("line"), m.alias("masked")))
+    return T.bind(F.aggregate(pairs, none, of_line), lambda w: F.when(w["raw"].isNotNull(), w))
 
 
 def claimed_forms(values: Column, canon_parts: Column) -> Column:
@@ -209,8 +216,8 @@ def verdicts(texts: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("parse
     mine = F.array(v["low"], v["bare"], v["canon"])
     missed = F.col("f.status") == "MISS"
     each = each.withColumn("_prose", F.col("lines").isNotNull()).withColumn("_masked", mask_claimed(F.col("lines"), F.when(F.col("lines").isNotNull(), F.array_except("every", mine))))
-    window = F.when(F.col("_prose"), nearest_window(v, F.col("lines"), F.col("_masked")))
-    near = each.select(*keys, "f", "_prose", F.when(F.col("_prose"), F.struct(window["d"].alias("d"), window["raw"].alias("raw"))).otherwise(F.col("token")).alias("n"), "rows_anchored", "n_rows")
+    window = nearest_window(v, F.col("lines"), F.col("_masked"))
+    near = each.select(*keys, "f", "_prose", F.when(F.col("_prose"), window).otherwise(F.col("token")).alias("n"), "rows_anchored", "n_rows")
     near = near.select(*keys, "f", "_prose", F.col("n.d").alias("d"), F.col("n.raw").alias("raw"), "rows_anchored", "n_rows")
     limit = F.when(F.col("_prose"), F.greatest(F.lit(1), F.floor(F.length(v["printed"]) / 4))).otherwise(F.greatest(F.lit(1), F.floor(F.length(v["canon"]) / 3)))
     moved = F.col("f.status") == "MISPLACED"

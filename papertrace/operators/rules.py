@@ -99,7 +99,8 @@ def seen(all_terms: DataFrame, verdicts: DataFrame | None) -> DataFrame:
     v = verdicts.join(top, ["parser", "doc_id", "dpi"]).select(F.col("parser"), F.col("doc_id").alias("ref_doc"), "field", F.col("status").alias("_s"), F.col("got").alias("_g"))
     graded = top.select("parser", F.col("doc_id").alias("ref_doc"))
     own = all_terms.where("form <> 'identity'").join(graded, "ref_doc")
-    across = all_terms.where("form = 'identity'").crossJoin(F.broadcast(top.select("parser").distinct()))
+    # an identity spans documents: each parser is judged by it, whatever it read
+    across = all_terms.where("form = 'identity'").crossJoin(top.select("parser").distinct())
     out = own.unionByName(across).join(v, ["parser", "ref_doc", "field"], "left")
     read = F.when(F.col("_s").isin("OK", "MISPLACED"), F.col("printed")).when((F.col("_s") == "CORRUPT") & (F.col("_g") != ""), F.col("_g"))
     status = F.when(F.col("literal").isNotNull(), "OK").when(F.col("_s").isNull(), "MISSING_FROM_GRADE").when(read.isNull(), "ABSENT").otherwise(F.col("_s"))

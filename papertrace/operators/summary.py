@@ -41,3 +41,11 @@ def recovery_pivot(pages: DataFrame, parsers: list[str]) -> DataFrame:
     """A row per document, and one for all (doc_id null): recovery in percent per parser."""
     share = lambda p: F.bround(100.0 * F.sum(F.when(F.col("parser") == p, F.col("ok"))) / F.sum(F.when(F.col("parser") == p, F.col("n_fields"))), 1)
     return pages.rollup("doc_id").agg(*(share(p).alias(p) for p in parsers))
+
+
+def shown(summary: DataFrame) -> DataFrame:
+    """(parser, dpi, recovered, quiet): rates as a table shows them, in percent; "-" where nothing was missed."""
+    return summary.select(
+        "parser", "dpi", F.when(F.col("fields") > 0, F.format_string("%.1f%%", F.bround(100.0 * F.col("ok") / F.col("fields"), 1))).otherwise("0.0%").alias("recovered"),
+        F.coalesce(F.format_string("%d%%", F.bround(100 * F.col("quiet_fraction")).cast("int")), F.lit("-")).alias("quiet"),
+    )

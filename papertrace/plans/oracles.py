@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import rulings
+
 _SUMS = """
 items AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem),
 sums AS (SELECT l_orderkey AS k, sum(CASE WHEN l_partkey % 50 <> 0 THEN v END) AS total, sum(v) + CASE WHEN k % 7 = 0 THEN 6 WHEN k % 5 = 0 THEN 5 ELSE 0 END AS target,
@@ -34,7 +36,7 @@ CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:.2f}', abs(c_acctbal))
     "shapes": """WITH v AS (SELECT unnest([o_orderpriority, strftime(o_orderdate, '%Y-%m-%d'), 'PO-' || o_orderkey, 'LN-' || lpad(CAST(o_orderkey AS VARCHAR), 3, '0'), format('{:,.2f}', o_totalprice)]) AS v FROM orders)
 SELECT CASE WHEN regexp_matches(v, '^-?[0-9 ,]+(\\.[0-9]+)?$') THEN 'money' WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN 'date' WHEN regexp_matches(v, '(?i)^PO[-\\s]?\\w+$') THEN 'po' WHEN regexp_matches(v, '(?i)^[A-Z]{2}[-\\s]?[0-9]{2,4}\\w*$') THEN 'sku' ELSE 'text' END AS shape,
 count(*) AS n, count_if(contains(trim(v), ' ')) AS multiword FROM v GROUP BY 1""".replace("\\\\", "\\"),
-    "regrouped": "SELECT o_orderkey, 'sum ' || (o_orderkey * 1009 + 1000000) || ' due' AS joined, o_orderkey % 2 = 0 AS adjacent FROM orders",
+    "regrouped": "SELECT o_orderkey, 'sum ' || (o_orderkey * 1009 + 1000000) || repeat('205', CAST(o_orderkey % 13 AS INT)) || CASE o_orderkey % 3 WHEN 0 THEN ' 110.5' WHEN 1 THEN ' 1104' ELSE '' END || ' due' AS joined, o_orderkey % 2 = 0 AS adjacent FROM orders",
     "nearest": """WITH c AS (SELECT c_custkey, c_mktsegment[1:2] || 'x' || c_mktsegment[4:] || CASE WHEN c_custkey % 2 = 0 THEN 's' ELSE '' END AS spelt FROM customer),
 n AS (SELECT m, row_number() OVER (ORDER BY m) AS pos FROM (SELECT DISTINCT c_mktsegment AS m FROM customer)),
 d AS (SELECT c_custkey, spelt, min({'d': levenshtein(lower(m), lower(spelt)), 'pos': pos, 'm': m}) AS b FROM c LEFT JOIN n ON abs(length(m) - length(spelt)) <= 1 GROUP BY 1, 2)
@@ -61,5 +63,9 @@ GROUP BY 1 HAVING NOT bool_or(coalesce(lang <> 'en', true) AND regexp_matches(co
 SELECT event_id, user_id, event_type, value FROM events e WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = e.user_id AND f.event_type = e.event_type) UNION ALL SELECT * FROM f""",
     "job_list": "SELECT doc_id, source, dpi FROM documents CROSS JOIN (VALUES (CAST(150 AS INT)), (300)) AS v(dpi)",
     "durations": "SELECT event_type AS parser, CASE WHEN event_id % 2 = 0 THEN 150 ELSE 300 END AS dpi, round_even(avg(floor(value)), 2) AS seconds_per_page FROM events WHERE event_id % 9 <> 0 GROUP BY 1, 2",
-    "page_classes": """SELECT p_partkey, p_size * 40 > 1000 AND p_size * 50 > 1000 AS page_backed, CASE WHEN p_partkey % 200 < 100 THEN 'none' WHEN p_size * 40 > 1000 THEN 'ocr' ELSE 'typeset' END AS layer, round_even(least(1.0::DOUBLE, 1500.0::DOUBLE / (p_size * 50)), 6) AS scale FROM part""",
+    "page_classes": """SELECT p_partkey, p_size * 40 > 1000 AND p_size * 50 > 1000 AS page_backed, CASE WHEN CASE WHEN p_partkey % 10 < 3 THEN p_partkey % 10 + 99 ELSE p_partkey % 200 END <= 100 THEN 'none' WHEN p_size * 40 > 1000 THEN 'ocr' ELSE 'typeset' END AS layer, round_even(least(1.0::DOUBLE, 1500.0::DOUBLE / (p_size * 50)), 6) AS scale FROM part""",
 }
+ORACLE_SQL["stored_verdicts"] = ORACLE_SQL["grades"]
+ORACLE_SQL["rates_shown"] = f"""WITH {_GRADES}, c AS (SELECT parser, count(*) AS n, count_if(status = 'OK') AS ok, count_if(status = 'CORRUPT' AND typed) + count_if(status = 'MISPLACED') AS quiet FROM g GROUP BY 1)
+SELECT parser, 300 AS dpi, format('{{:.1f}}%', round_even(100.0 * ok / n, 1)) AS recovered, CASE WHEN n > ok THEN CAST(CAST(round_even(100 * round_even(quiet / (n - ok), 4), 0) AS INT) AS VARCHAR) || '%' ELSE '-' END AS quiet FROM c"""
+ORACLE_SQL |= rulings.ORACLE_SQL

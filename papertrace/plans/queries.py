@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import cost, match, rules, runs, summary
 from ..sources import sinks
+from . import rulings
 
 #: Dollars per million tokens, by prefix.
 PRICES = [("click", 5.0, 25.0), ("click-1", 2.0, 8.0), ("view", 1.0, 4.0), ("purchase-3", 3.0, 15.0)]
@@ -95,12 +96,14 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures with spaces between their digit groups: joined in a line, and found as adjacent tokens."""
+    """Figures with spaces between their digit groups, up to fifteen of them: joined in a line, and found as
+    adjacent tokens. A decimal part after the last group, or a digit, leaves that group alone."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 1009 + 1_000_000).alias("v"))
-    printed = F.replace(F.format_number("v", 0), F.lit(","), F.lit(" "))
+    k = F.col("o_orderkey")
+    printed = F.concat(F.replace(F.format_number("v", 0), F.lit(","), F.lit(" ")), F.repeat(F.lit(" 205"), (k % 13).cast("int")), F.when(k % 3 == 0, " 110.5").when(k % 3 == 1, " 1104").otherwise(""))
     cut = F.concat(F.substring(F.col("v").cast("string"), 1, 2), F.lit(" "), F.substring(F.col("v").cast("string"), 3, 20))
     df = orders.select("o_orderkey", F.concat(F.lit("sum "), printed, F.lit(" due")).alias("line"), F.concat(F.lit("sum "), cut, F.lit(" due")).alias("split"), (F.col("v") + F.col("o_orderkey") % 2).cast("string").alias("want"))
-    return df.select("o_orderkey", T.join_thousands("line").alias("joined"), match.concat_match(F.col("want"), match.token_forms(F.col("split"))).alias("adjacent"))
+    return df.select("o_orderkey", T.join_thousands("line").alias("joined"), T.bind(match.token_forms(F.col("split")), lambda t: T.bind(match.scope(F.array(), t), lambda s: match.concat_match(F.col("want"), s))).alias("adjacent"))
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +111,7 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = _table(spark, sf_dir, "customer")
     names = customer.agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), " ").alias("line"))  # a handful of words
     spelt = F.concat(F.substring("c_mktsegment", 1, 2), F.lit("x"), F.substring("c_mktsegment", 4, 99), F.when(F.col("c_custkey") % 2 == 0, "s").otherwise(""))
-    df = customer.select("c_custkey", spelt.alias("spelt")).join(F.broadcast(names))
+    df = customer.select("c_custkey", spelt.alias("spelt")).join(names)  # one row
     best = match.nearest_token(F.struct(T.canon("spelt").alias("canon")), match.token_forms(F.col("line")), F.array().cast("array<string>"))
     return df.withColumn("b", best).select("c_custkey", "spelt", F.col("b.d").alias("distance"), F.col("b.raw").alias("got"), T.stays_in_alphabet("spelt", "b.raw").alias("typed"))
 
@@ -136,8 +139,10 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.regexp_extract_all("t", F.lit(word), F.lit(0))
     grams = low.withColumn("w", w).where("size(w) >= 7").select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: key(F.col("w"), i)))).alias("k"))
     near = grams.join(long, "k").select("doc_id", "item_id", "p").join(low, "doc_id").where(F.contains("t", "p")).select("doc_id", "item_id")
-    short = want.where("size(w) < 7 and p <> ''").select("item_id", "p")
-    return near.union(low.join(short, F.contains("t", "p")).select("doc_id", "item_id")).distinct()
+    # short passages in one list, each document looked through once; a passage of six words can't be rarer
+    short = want.where("size(w) < 7 and p <> ''").agg(F.collect_list(F.struct("item_id", "p")).alias("short"))
+    some = low.join(short).select("doc_id", F.explode(F.filter("short", lambda x: F.contains(F.col("t"), x["p"]))).alias("x")).select("doc_id", "x.item_id")
+    return near.union(some).distinct()
 
 
 def _supplier_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +201,7 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "part").select("p_partkey", F.array(F.struct((F.col("p_size") * 40).alias("width"), (F.col("p_size") * 50).alias("height"))).alias("images"), (F.col("p_partkey") % 200).cast("int").alias("text_layer_chars"))
+    p = _table(spark, sf_dir, "part").select("p_partkey", F.array(F.struct((F.col("p_size") * 40).alias("width"), (F.col("p_size") * 50).alias("height"))).alias("images"), F.when(F.col("p_partkey") % 10 < 3, (F.col("p_partkey") % 10 + 99).cast("int")).otherwise((F.col("p_partkey") % 200).cast("int")).alias("text_layer_chars"))
     out = runs.page_class(p).withColumn("scale", F.bround(runs.image_scale(F.col("images")[0]["width"], F.col("images")[0]["height"], 1500), 6))
     return out.select("p_partkey", "page_backed", "layer", "scale")
 
@@ -207,4 +212,4 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (rule_sums, rule_counts, rule_rows, rule_identities, figures, shapes, regrouped, nearest, table_rows, page_lines, passages, grades, grade_summary, recovery, costs, dead_runs, upserts, job_list, durations, page_classes, folded)}
+QUERIES = {f.__name__: f for f in (rule_sums, rule_counts, rule_rows, rule_identities, figures, shapes, regrouped, nearest, table_rows, page_lines, passages, grades, grade_summary, recovery, costs, dead_runs, upserts, job_list, durations, page_classes, folded)} | rulings.QUERIES

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRUTH = (
@@ -26,6 +26,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _path() -> Column:
+    """The parts of the file's path that a row was read from; Spark gives it as a URI."""
+    return F.split(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "/")
+
+
 def _json(spark: SparkSession, schema: str, *paths: str, glob: str | None = None, optional: bool = False) -> DataFrame:
     if optional and not any(exists(spark, p) for p in paths):
         return spark.createDataFrame([], schema)
@@ -34,9 +39,10 @@ def _json(spark: SparkSession, schema: str, *paths: str, glob: str | None = None
 
 
 def truth(spark: SparkSession, corpus: str, override: str | None = None) -> DataFrame:
-    """Label documents of a folder (or of `override`), by file name up to the first dot as doc_key."""
+    """Label documents of a folder (or of `override`). A document goes by its file's name up to the first dot,
+    whatever its doc_id says: that is what runs name it by."""
     df = _json(spark, TRUTH, override or corpus, glob="*.truth.json")
-    return df.withColumn("doc_key", F.substring_index(F.element_at(F.split(F.input_file_name(), "/"), -1), ".", 1))
+    return df.withColumn("doc_id", F.substring_index(F.element_at(_path(), -1), ".", 1))
 
 
 def identities(spark: SparkSession, path: str) -> DataFrame:
@@ -47,7 +53,7 @@ def identities(spark: SparkSession, path: str) -> DataFrame:
 def manifests(spark: SparkSession, out: str, parser: str | None = None) -> DataFrame:
     """A row per record of each run under `out`: (parser, version, source, doc_id, dpi, seconds, chars, error,
     text_file). The run's folder names the parser; records, not files, say what was read."""
-    df = _json(spark, MANIFEST, f"{out}/*/manifest.json").withColumn("parser", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    df = _json(spark, MANIFEST, f"{out}/*/manifest.json").withColumn("parser", F.element_at(_path(), -2))
     df = df.where(F.col("parser") == parser) if parser else df
     return df.select("parser", "version", "source", F.explode_outer("records").alias("r")).select("parser", "version", "source", "r.*")
 
@@ -55,7 +61,7 @@ def manifests(spark: SparkSession, out: str, parser: str | None = None) -> DataF
 def texts(spark: SparkSession, out: str) -> DataFrame:
     """(parser, text_file, text): each text file of each run, whole."""
     df = spark.read.text(f"{out}/*/", wholetext=True, pathGlobFilter="*.txt")
-    parts = F.split(F.input_file_name(), "/")
+    parts = _path()
     return df.select(F.element_at(parts, -2).alias("parser"), F.element_at(parts, -1).alias("text_file"), F.col("value").alias("text"))
 
 
@@ -71,12 +77,33 @@ def page_sources(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, SOURCES, path)
 
 
+def present(spark: SparkSession, sources: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """sources whose file is in a folder (or below it), and those whose file is missing, which a build skips
+    and names. Files are listed by Spark's reader, contents unread."""
+    root = F.lit(folder.rstrip("/") + "/")
+    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.element_at(F.split(path, root, 2), -1).alias("file")).distinct()
+    return sources.join(held, "file", "left_semi"), sources.join(held, "file", "left_anti")
+
+
+#: A stored report's page: its key, and verdicts by field.
+SCORES = "parser string, doc_id string, dpi int, fields map<string,struct<printed:string,status:string,got:string,distance:int,typed:boolean>>"
+
+
+def scores(spark: SparkSession, path: str) -> DataFrame | None:
+    """Verdicts that sinks.write_scores() stored, as match.verdicts() gave them but for the rows' counts; None
+    where nothing is stored, which leaves the check of labels alone."""
+    if not exists(spark, path):
+        return None
+    return spark.read.schema(SCORES).json(path).select("parser", "doc_id", "dpi", F.explode("fields").alias("field", "v")).select("parser", "doc_id", "dpi", "field", "v.*")
+
+
 def usage(spark: SparkSession, *globs: str) -> DataFrame:
     """(run, doc_id, dpi, model, input_tokens, output_tokens, stop) of all runs; none without files."""
     found = [g for g in globs if exists(spark, g)]
     if not found:
         return spark.createDataFrame([], f"run string, {USAGE}")
-    return _json(spark, USAGE, *found).withColumn("run", F.concat_ws("/", F.slice(F.split(F.input_file_name(), "/"), -3, 2)))
+    return _json(spark, USAGE, *found).withColumn("run", F.concat_ws("/", F.slice(_path(), -3, 2)))
 
 
 def prices(spark: SparkSession, rows: list[tuple[str, float, float]]) -> DataFrame:
