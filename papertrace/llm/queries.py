@@ -94,5 +94,7 @@ SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
        CASE WHEN strlen(html) >= 1000 AND page_id <> holder THEN holder END AS refers_to
 FROM p JOIN g ON sha256(html) = d
 """,
+    "op4_quality": quality.oracle(),
     "op5_licenses": licenses.oracle(),
+    "op9_mixing": mixing.oracle(),
 }
