@@ -9,6 +9,8 @@ bucket, which the task writes out for itself. Equal values have equal buckets, s
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,7 +24,7 @@ from .components import components, forest
 RADIUS = 4
 SEED = 42
 #: Fingerprints that a bucket may hold (8 bytes each); from that on there are more buckets.
-BUCKET_ROWS = 16_000_000
+BUCKET_ROWS = 1_000_000
 #: Least number of buckets, as a power of two.
 BUCKET_BITS = 6
 #: Values that a task compares at once, about.
@@ -156,7 +158,7 @@ def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     dealt = fps.mapInArrow(deal, "bucket long, fps binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << min(bits, 12))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << min(bits, 16))
     return dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
@@ -175,16 +177,192 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return docs.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of df of which one stays per component of near_duplicates(): that with the least doc_id, once
-    if it is repeated. A component without any doc_id keeps one row of each fingerprint. df's columns come
-    back as they were."""
+# -- near copies by similarity ---------------------------------------------------------------------------
+
+#: Least Jaccard similarity of two texts' sets of shingles that makes a link, and the share of pairs at exactly that
+#: similarity that the tables may miss.
+SIMILAR, MISSED = 0.8, 0.01
+#: Bits of a signature; a table takes so many of them as number the texts, and SPARE more; a pair may differ in
+#: NEAR of a table's bits.
+SIGNATURE, SPARE, NEAR = 256, 18, 2
+#: Standard deviations by which the signatures of a similar pair may differ in more bits than on average.
+DOUBT = 6.0
+_U = np.uint64
+_FACTORS, _WORDS = (np.random.default_rng(k).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1) for k in (20240301, 20240302))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
+    return x ^ x >> _U(31)
+
+
+def shingles_of(data: bytes, shingle: int = 5) -> np.ndarray:
+    """The sorted hashes of a UTF-8 text's distinct shingles. Fewer words than a shingle: all of them are the
+    one shingle; none: no shingle."""
+    words = data.lower().split()  # A-Z only; parts at exactly \x20 and \x09-\x0D
+    n, digest = len(words), xxhash.xxh64_intdigest
+    if not n:
+        return np.zeros(0, np.uint64)
+    h, k = np.fromiter((digest(w) for w in words), np.uint64, n), min(n, shingle)
+    g = np.full(n - k + 1, k, dtype=np.uint64)
+    for i in range(k):
+        g = (g + h[i : n - k + 1 + i]) * _FACTORS[i % len(_FACTORS)]
+        g ^= g >> _U(29)
+    return np.unique(_mixed(g))
+
+
+def signature_of(s: np.ndarray) -> bytes:
+    """The SimHash of a set of shingle hashes, SIGNATURE bits: a bit is 1 if set in over half of them."""
+    ones = np.zeros(SIGNATURE, dtype=np.int64)
+    for k in range(0, len(s), 16_384):
+        words = np.stack([_mixed(s[k : k + 16_384] ^ w) for w in _WORDS[: SIGNATURE // 64]], axis=1)
+        ones += np.unpackbits(words.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(s)).tobytes()
+
+
+def differing(similar: float = SIMILAR) -> float:
+    """The chance that a signature's bit differs between sets of a Jaccard similarity."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
+
+
+def tables(n: int, similar: float = SIMILAR) -> list[np.ndarray]:
+    """The bits that each table takes of a signature, for n texts. A pair's D differing bits of all are binomial,
+    and those in a table hypergeometric; there are as many tables as miss MISSED of the pairs at `similar`."""
+    bits, q = max(24, math.ceil(math.log2(max(n, 2))) + SPARE), differing(similar)
+    share = [math.comb(SIGNATURE, d) * q**d * (1 - q) ** (SIGNATURE - d) for d in range(SIGNATURE + 1)]
+    hit = [sum(math.comb(d, k) * math.comb(SIGNATURE - d, bits - k) for k in range(NEAR + 1) if k <= d) / math.comb(SIGNATURE, bits) for d in range(SIGNATURE + 1)]
+    many = 1
+    while sum(p * (1 - h) ** many for p, h in zip(share, hit)) > MISSED:
+        many += 1 + many // 32
+    return [np.sort(np.random.default_rng([SEED, bits, t]).choice(SIGNATURE, bits, replace=False)) for t in range(many)]
+
+
+def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes whose fingerprints of `width` bits meet in one bucket of a table: each emits all values within
+    NEAR / 2 bits, and of those who share a value, in order of nodes, each is paired with the next two. So no node
+    stands for all others of a group, and nobody's pairs grow with it."""
+    error = np.concatenate([np.zeros(1, np.uint64), _BITS[:width]])
+    sub = max(0, math.ceil(math.log2(max(1.0, len(f) * len(error) / (1 << bits) / AT_ONCE))))
+    total = bits + sub
+    shift = np.concatenate([np.zeros(1, np.int64), COLUMNS[:width]]) >> (32 - total)
+    syn = syndrome(f) >> (32 - total)
+    order = np.argsort(syn, kind="stable")
+    node, f, syn = node[order], f[order], syn[order]
+    first = np.searchsorted(syn, np.arange((1 << total) + 1))
+    out: list[np.ndarray] = []
+    for at in range(bucket << sub, (bucket + 1) << sub):
+        spans = [(e, first[at ^ s], first[(at ^ s) + 1]) for e, s in zip(error, shift)]
+        spans = [x for x in spans if x[1] < x[2]]
+        if not spans:
+            continue
+        v = np.concatenate([f[lo:hi] ^ e for e, lo, hi in spans])
+        ranked = np.sort(v)
+        again = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+        if not len(again):
+            continue
+        k = np.minimum(np.searchsorted(again, v), len(again) - 1)
+        hit = np.flatnonzero(again[k] == v)
+        who, k = node[np.concatenate([np.arange(lo, hi) for _, lo, hi in spans])[hit]], k[hit]
+        order = np.lexsort((who, k))
+        who, k = who[order], k[order]
+        for d in (1, 2):
+            same = k[d:] == k[:-d]
+            out.append(np.stack([who[d:][same], who[:-d][same]], axis=1))
+        if sum(map(len, out)) > AT_ONCE:
+            out = [np.unique(np.concatenate(out), axis=0)]
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def candidates(nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): pairs of nodes (node, sig) that meet in a table and whose whole signatures differ in no more bits than
+    those of a similar pair may."""
+    spark = ready(nodes.sparkSession)
+    n = nodes.count()
+    places, bits = tables(n, similar), 0
+    width = len(places[0])
+    while n * min(1.0, (width + 1) / (1 << bits)) > BUCKET_ROWS and bits < 20:
+        bits += 1
+    schema = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("fps", pa.binary())])
+
+    def deal(batches):
+        weight = _BITS[:width]
+        shift = np.unique(np.concatenate([np.zeros(1, np.int64), COLUMNS[:width]]) >> (32 - bits))
+        for batch in batches:
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            sig = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(bool)
+            rows = {"bucket": [], "nodes": [], "fps": []}
+            for t, place in enumerate(places):
+                f = np.where(sig[:, place], weight, _U(0)).sum(axis=1, dtype=np.uint64)
+                to = (syndrome(f) >> (32 - bits))[:, None] ^ shift
+                for b in np.unique(to).tolist():
+                    i = np.flatnonzero((to == b).any(axis=1))
+                    rows["bucket"].append((t << bits) + b)
+                    rows["nodes"].append(node[i].tobytes())
+                    rows["fps"].append(f[i].tobytes())
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+
+    def join(t: pa.Table) -> pa.Table:
+        node, f = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("nodes", np.int64), ("fps", np.uint64)))
+        a, b = chains(node, f, width, t.column("bucket")[0].as_py() & ((1 << bits) - 1), bits)
+        return pa.table({"a": a, "b": b})
+
+    dealt = nodes.select("node", "sig").mapInArrow(deal, "bucket long, nodes binary, fps binary")
+    parts = min(4096, max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(places) << bits))
+    pairs = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+    q = differing(similar)
+    most = int(SIGNATURE * q + DOUBT * math.sqrt(SIGNATURE * q * (1 - q)))
+    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(f"w{k}").alias(f"{c}{k}") for k in range(SIGNATURE // 64)))
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, SIGNATURE // 64)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
+
+
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """The rows of df of which one stays per component of texts that links of Jaccard similarity `similar` or more
+    reach: that with the least doc_id, null after all, once if it is repeated.
+
+    Texts with equal sets of shingles are one node; those without words (null and empty ones too) have the empty set.
+    Nodes meet by SimHash as in links(), in tables of a longer signature's bits, as one fingerprint of 64 bits tells
+    too little at such a similarity; every pair is then verified by its whole sets, so no link rests on an estimate.
+    A pair at `similar` is missed with a chance of MISSED, others with less. Texts of any length are taken whole.
+    df's columns come back as they were; no rows, no result."""
+    spark = ready(df.sparkSession)
+
+    @F.arrow_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType())]))
+    def sketch(a: pa.Array) -> pa.Array:
+        sets = [shingles_of(x.as_py(), shingle) for x in a.cast(pa.binary())]
+        node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(node), pa.array([signature_of(s) for s in sets], pa.binary())], names=["node", "sig"])
+
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    rows = cut(fingerprints(rows, F.col("row")[text], "fp", shingle).withColumn("id", F.col("row")[doc_id]))
-    by_fp = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(links(by_fp))
-    placed = by_fp.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("low").alias("least"))
-    stay = placed.join(least, "root").where(F.col("low").eqNullSafe(F.col("least"))).select(F.col("fp").alias("k"), F.col("low").alias("stays"))
-    kept = rows.join(stay, (F.col("fp") == F.col("k")) & F.col("id").eqNullSafe(F.col("stays")), "left_semi")
-    return kept.dropDuplicates(["id", "fp"]).select("row.*")
+    rows = rows.withColumn("s", sketch(text_of(F.col("row")[text]))).select("row", F.col("row")[doc_id].alias("id"), "s.node", "s.sig", F.monotonically_increasing_id().alias("rid"))
+    rows = cut(rows)
+    words = [F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(SIGNATURE // 64)]
+    nodes = cut(rows.groupBy("node").agg(F.min("rid").alias("rid"), F.first("sig").alias("sig")).select("node", "rid", "sig", *words))
+    pairs = cut(candidates(nodes, similar))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = rows.select("rid", text_of(F.col("row")[text]).alias("text")).join(nodes.join(asked, "node").select("rid", "node"), "rid").select("node", "text")
+    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
+
+    def verify(batches):
+        last: dict[int, np.ndarray] = {}
+        for batch in batches:
+            a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for i in range(len(a)):
+                some = []
+                for k, c in ((a[i], 2), (b[i], 3)):
+                    if k not in last:
+                        if len(last) > 64:
+                            last.clear()
+                        last[k] = shingles_of(batch.column(c)[i].as_py().encode(), shingle)
+                    some.append(last[k])
+                x, y = some
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similar * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    linked = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    placed = rows.select("rid", "id", "node").join(components(linked).withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stay = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("stays"))
+    return rows.join(stay.select(F.col("stays.rid").alias("rid")), "rid", "left_semi").select("row.*")

@@ -26,6 +26,10 @@ from .common import cut, ready, text_of
 SPAN, GRAM = 20, 8
 #: Words of a shard's distinct segments, about; distinct segments of a key beyond which it is dealt by windows.
 SHARD_WORDS, KEY_SEGMENTS = 1_000_000, 20_000
+#: Stored bytes of texts whose keys a bucket counts, about.
+BUCKET_BYTES = 8_000_000
+#: A segment that makes up more than one in so many is hot; so at most that many are.
+HOT = 10_000
 _U = np.uint64
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, GRAM, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -159,14 +163,20 @@ def _unpack(data: bytes, parts: int) -> list[np.ndarray]:
     return np.split(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64), parts)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """The size of what df reads, as the optimiser knows it from the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().collectLeaves().head().stats().sizeInBytes().toString())
+
+
 def shared_segments(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(rid, key, start, windows) of the segments of docs (rid, text) whose key occurs again.
 
     Keys travel with their places, packed by task and bucket. A key that a batch of documents holds twice is
     known to be repeated: its places are passed on at once and only one of them goes to its bucket, so a key
-    that very many documents hold sends at most a row per batch there."""
+    that very many documents hold sends at most a row per batch there. Buckets are as many as the texts need, so
+    that what one task counts doesn't grow with them."""
     spark = ready(docs.sparkSession)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(docs) // BUCKET_BYTES))
     schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("places", pa.binary())])
 
     def deal(batches):
@@ -225,7 +235,9 @@ def repeats(docs: DataFrame, span: int = SPAN, key_segments: int = KEY_SEGMENTS,
     """(rid, start, windows, mask): segments of docs (rid, doc, text, packed) with a bit for each window that has
     an earlier place. Segments without such a window are left out. rid tells different texts apart, and doc
     orders them."""
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
+    if span - min(GRAM, max(1, span // 2)) + 1 > 62:
+        raise ValueError("a segment's windows are a mask of 62 bits at most: choose a shorter span, or a longer GRAM")
     places = shared_segments(docs, span).groupBy("rid").agg(F.collect_set(F.struct("key", "start", "windows")).alias("places"))
 
     schema = pa.schema([("rid", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("digest", pa.binary()), ("content", pa.binary())])
@@ -257,8 +269,8 @@ def repeats(docs: DataFrame, span: int = SPAN, key_segments: int = KEY_SEGMENTS,
         single = single.select("rid", "doc", F.xxhash64("content").alias("key"), (F.col("start") + F.col("_k")).alias("start"), F.lit(1).cast("long").alias("windows"), digest.alias("digest"), "content")
         held = cut(held.join(hot, "key", "left_anti").select(single.columns).union(single))
     place = F.struct("doc", "start", "rid")
-    distinct = cut(held.groupBy("key", "digest").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("windows").alias("windows"), F.first("content").alias("content")))
-    size = distinct.agg(F.coalesce(F.sum(F.col("windows") + span), F.lit(0))).first()[0]
+    distinct = cut(held.groupBy("key", "digest").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("windows").alias("windows"), F.first("content").alias("content"), F.count(F.lit(1)).alias("n")))
+    size, total = distinct.agg(F.coalesce(F.sum(F.col("windows") + span), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-size // shard_words))
 
     def search(t: pa.Table) -> pa.Table:
@@ -272,8 +284,11 @@ def repeats(docs: DataFrame, span: int = SPAN, key_segments: int = KEY_SEGMENTS,
     firsts = cut(by_shard.groupBy("shard").applyInArrow(search, "rid long, start long, windows long, mask long"))
     # where a segment as a whole stands earlier, all its windows do; at the first place in a text of another
     # row with the same doc, the same windows do as in the first
-    lows = distinct.where("low <> high").select("key", "digest", "low")
-    others = held.select("rid", "doc", "key", "start", "windows", "digest").join(lows, ["key", "digest"]).where("rid <> low.rid or start <> low.start or doc <> low.doc")
+    lows, light = distinct.where("low <> high").select("key", "digest", "low", "n"), held.select("rid", "doc", "key", "start", "windows", "digest")
+    # the few segments that make up a large part of all are broadcast, at most HOT of them; no other key is hot
+    hot, rest = F.broadcast(lows.where(F.col("n") * HOT > total)), lows.where(F.col("n") * HOT <= total)
+    others = light.join(hot, ["key", "digest"]).unionByName(light.join(hot, ["key", "digest"], "left_anti").join(rest, ["key", "digest"]))
+    others = others.where("rid <> low.rid or start <> low.start or doc <> low.doc")
     others = others.select("rid", "start", "windows", F.col("low.rid").alias("_rid"), ((F.col("doc") == F.col("low.doc")) & (F.col("start") == F.col("low.start"))).alias("_first"))
     later = others.where("not _first").select("rid", "start", "windows", F.expr("shiftleft(1L, cast(windows as int)) - 1").alias("mask"))
     twins = others.where("_first").select("rid", "start", "_rid").join(firsts.withColumnRenamed("rid", "_rid"), ["_rid", "start"])

@@ -4,8 +4,9 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
-from papertrace.llm import shingles
+from papertrace.llm import simhash
 
 
 def grams(t):
@@ -54,16 +55,38 @@ def test_stage_removes_near_copies(spark):
     assert sorted(r.doc_id for r in c.near_duplicates(spark, twice, "").collect()) == want
 
 
-def test_alike_is_exact():
-    r = np.random.default_rng(5)
-    sets = [np.unique(r.integers(0, 60, 40)).astype(np.uint64) for _ in range(40)]
-    sets += [np.unique(np.concatenate([np.delete(s, 0), r.integers(0, 60, 2).astype(np.uint64)])) for s in sets]
-    for least in (0.5, 0.6, 0.8):
-        root = shingles.alike(sets, least)
-        p = list(range(len(sets)))
-        for i, j in itertools.combinations(range(len(sets)), 2):
-            a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            if len(a & b) >= least * len(a | b) - 1e-9:
-                x, y = p[i], p[j]
+def test_tables_miss_as_few_as_they_say():
+    """Pairs of random sets at a similarity of 0.8: those that no table brings together."""
+    r, n, missed = np.random.default_rng(5), 3000, 0
+    places = simhash.tables(n)
+    for k in range(0, n, 500):
+        a, b = [], []
+        for _ in range(500):
+            x = r.integers(0, 1 << 63, 330, dtype=np.uint64)
+            a.append(simhash.signature_of(x[:297]))
+            b.append(simhash.signature_of(x[33:]))  # 264 of 330 shared
+        x = np.unpackbits(np.frombuffer(b"".join(a), np.uint8).reshape(500, -1) ^ np.frombuffer(b"".join(b), np.uint8).reshape(500, -1), axis=1)
+        missed += int((np.stack([x[:, p].sum(axis=1) for p in places]) > simhash.NEAR).all(axis=0).sum())
+    assert missed <= 2 * simhash.MISSED * n
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_chains_pair_all_that_meet(bits):
+    r = np.random.default_rng(6)
+    f = np.unique(np.concatenate([x := r.integers(0, 1 << 24, 400, dtype=np.uint64), x ^ np.uint64(1), x ^ np.uint64(5 << 10), x ^ np.uint64(7 << 3)]))
+    node = r.permutation(len(f)).astype(np.int64)
+    found = set()
+    for bucket in range(1 << bits):
+        found |= set(zip(*(c.tolist() for c in simhash.chains(node, f, 24, bucket, bits))))
+    near = {(max(p, q), min(p, q)) for (p, x), (q, y) in itertools.combinations(zip(node.tolist(), f.tolist()), 2) if (x ^ y).bit_count() <= 2}
+    assert found <= near
+    def roots(pairs):
+        p = list(range(len(f)))
+        for a, b in pairs:
+            x, y = p[a], p[b]
+            if x != y:
                 p = [x if k == y else k for k in p]
-        assert len(set(zip(root.tolist(), p))) == len(set(root.tolist())) == len(set(p))
+        return p
+
+    a, b = roots(found), roots(near)
+    assert len(set(zip(a, b))) == len(set(a)) == len(set(b))
