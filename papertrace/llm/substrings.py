@@ -164,8 +164,10 @@ def _unpack(data: bytes, parts: int) -> list[np.ndarray]:
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """The size of what df reads, as the optimiser knows it from the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().collectLeaves().head().stats().sizeInBytes().toString())
+    """The size of what df reads, as the optimiser knows it from the files; else the bytes of its texts, summed."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < 1 << 50 else df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def shared_segments(docs: DataFrame, span: int = SPAN) -> DataFrame:
