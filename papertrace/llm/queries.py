@@ -28,7 +28,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     records = warc.read(spark, warc.write(pages, scratch(spark)))
-    refers = F.regexp_extract(F.coalesce(warc.field("WARC-Refers-To"), F.lit("")), r"^<urn:x-page:(-?[0-9]+)>$", 1)
+    refers = F.regexp_extract(F.coalesce(warc.field("WARC-Refers-To"), F.lit("")), r"^<urn:x-page:(-?[0-9]+):[0-9]+>$", 1)
     return records.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), warc.field("WARC-Type").alias("record_type"), F.nullif(refers, F.lit("")).cast("long").alias("refers_to"))
 
 

@@ -78,18 +78,32 @@ def test_bpe_odd_texts():
         assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     big, small = "p" * 1500, "s" * 20
-    pages = [(1, "http://a/", big), (5, "http://b/\r\nx", big), (3, None, big), (4, "u", small), (6, "u", small), (7, "u", None), (5, "dup", big), (None, "n", big), (8, "é", "é" * 600)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumnRenamed("url", "url")
-    got = warc.read(spark, warc.write(df, scratch(spark)))
-    out = [(r.page_id, r.t, r.to, bytes(r.payload)) for r in warc.stream(got).select("page_id", warc.field("WARC-Type").alias("t"), warc.field("WARC-Refers-To").alias("to"), "payload").collect()]
-    r5 = "<urn:x-page:5>"
-    want = [(1, "revisit", r5, big), (3, "revisit", r5, big), (5, "response", None, big), (5, "response", None, big), (None, "response", None, big), (4, "response", None, small), (6, "response", None, small), (7, "response", None, ""), (8, "response", None, "é" * 600)]
-    assert Counter(out) == Counter((a, b, c, d.encode()) for a, b, c, d in want)
-    assert all("\n" not in r.u for r in got.select(warc.field("WARC-Target-URI").alias("u")).collect() if r.u)
-    none = spark.createDataFrame([], df.schema)
-    assert warc.read(spark, warc.write(none, scratch(spark))).count() == 0
+    pages = [(1, "http://a/", big), (5, "http://b/\r\nx", big), (3, None, big), (4, "u", small), (6, "u", small), (7, "u", None), (5, "dup", big), (None, "n", big), (8, "é", "é" * 600), (None, None, None)] + [(100 + i, "u", "q" * 1000 + "é\r\n\r\n") for i in range(60)] * 2
+    df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, header string, sha256 string").repartition(3)
+    for split in (200, 5):
+        monkeypatch.setattr(warc, "SPLIT", split)
+        got = warc.read(spark, warc.write(df, scratch(spark)))
+        names = ("WARC-Type", "WARC-Refers-To", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Target-URI")
+        out = got.select("page_id", "payload", "record", "header", *(warc.field(n).alias(n) for n in names)).collect()
+        last = lambda p: max(i for i, _, h in pages if i is not None and (h or "") == p)
+        want = []
+        for i, _, h in pages:
+            h = h or ""
+            again = len(h.encode()) >= 1000 and i is not None and i != last(h)
+            want.append((i, "revisit" if again else "response", last(h) if again else None, h.encode()))
+        to = lambda r: int(r["WARC-Refers-To"].split(":")[2]) if r["WARC-Refers-To"] else None
+        assert Counter((r.page_id, r["WARC-Type"], to(r), bytes(r.payload)) for r in out) == Counter(want)
+        ids = {r["WARC-Record-ID"]: r for r in out}
+        assert len(ids) == len(pages)
+        for r in out:
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r["WARC-Date"]) and "\n" not in (r["WARC-Target-URI"] or "")
+            head, body = bytes(r.record).split(b"\r\n\r\n", 1)
+            assert head.decode() + "\r\n\r\n" == r.header and body == (b"" if r["WARC-Type"] == "revisit" else bytes(r.payload)) + b"\r\n\r\n"
+            if r["WARC-Refers-To"]:
+                assert bytes(ids[r["WARC-Refers-To"]].payload) == bytes(r.payload) and ids[r["WARC-Refers-To"]]["WARC-Type"] == "response"
+    assert warc.read(spark, warc.write(df.limit(0), scratch(spark))).count() == 0
 
 
 def fp_of(t, k):
