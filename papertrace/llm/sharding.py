@@ -6,7 +6,9 @@ curve, and runs of near equal bytes are cut. A filter on any of the dimensions t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, unused
@@ -52,11 +54,28 @@ def hilbert(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(levels, F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("place")), step)["place"]
 
 
-def quantised(lang: Column, source: Column, size: Column, bits: int = BITS) -> list[Column]:
-    """Grid coordinates: equal languages and equal sources share one (null: as the empty name), and lengths
-    go by half powers of two."""
-    name = lambda c: F.pmod(F.xxhash64(F.coalesce(c.cast("string"), F.lit(""))), F.lit(1 << bits)).cast("int")
-    return [name(lang), name(source), F.least(F.lit((1 << bits) - 1), F.floor(2 * F.log2(size / 16.0))).cast("int")]
+#: Least size of each cell of the size dimension: 16 bytes times half powers of two.
+SIZES = tuple(math.ceil(16 * 2 ** (k / 2)) for k in range(1 << BITS))
+
+
+def _cuts(df: DataFrame, name: str, bits: int) -> DataFrame:
+    """(cuts,), one row: the least name of each of up to 2 ** bits runs of equally many names, in order. Names are
+    metadata, a row each: they fit a task; no more than 2 ** bits go on."""
+    names = df.select(F.col(name).cast("string").alias("name")).where("name is not null").distinct()
+    every = Window.partitionBy()
+    cell = F.floor((F.row_number().over(Window.orderBy("name")) - 1) * (1 << bits) / F.greatest(F.count(F.lit(1)).over(every), F.lit(1 << bits)))
+    least = names.withColumn("cell", cell).groupBy("cell").agg(F.min("name").alias("name"))
+    return least.agg(F.array_sort(F.collect_list("name")).alias("cuts"))
+
+
+def quantised(df: DataFrame, size: str, lang: str, source: str, out: list[str], bits: int = BITS) -> DataFrame:
+    """df with its grid coordinates in columns `out`: languages and sources in order of names, each with a cell of
+    its own up to 2 ** bits of them, runs of names beyond (null goes with the first); sizes by half powers of two."""
+    (a, b), (of_lang, of_source) = unused(df, "_cuts_lang", "_cuts_source"), (lang, source)
+    df = df.join(F.broadcast(_cuts(df, lang, bits).withColumnRenamed("cuts", a))).join(F.broadcast(_cuts(df, source, bits).withColumnRenamed("cuts", b)))  # one row each
+    at = lambda cuts, name: F.greatest(F.lit(0), F.size(F.filter(cuts, lambda c: c <= F.col(name).cast("string"))) - 1)
+    cell = F.greatest(F.lit(0), F.size(F.filter(F.array(*map(F.lit, SIZES)), lambda c: c <= F.col(size))) - 1)
+    return df.withColumns({out[0]: at(a, of_lang), out[1]: at(b, of_source), out[2]: cell}).drop(a, b)
 
 
 def shards(df: DataFrame, count: int = 40, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -68,7 +87,9 @@ def shards(df: DataFrame, count: int = 40, doc_id: str = "doc_id", text: str = "
     first), then by size and checksum; of fully equal rows the order doesn't matter. Fewer rows than shards
     leave some empty; an empty table has none. Other columns are ignored. JVM only."""
     size = (F.octet_length(text_of(text)) + 16).cast("long")
-    rows = df.select(F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(text_of(text)).cast("long").alias("text_crc32"), hilbert(quantised(F.col(lang), F.col(source), size)).alias("curve"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(text_of(text)).cast("long").alias("text_crc32"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    rows = quantised(rows, "size", "lang", "source", ["_x", "_y", "_z"])
+    rows = rows.select("doc_id", "size", "text_crc32", hilbert([F.col("_x"), F.col("_y"), F.col("_z")]).alias("curve"))
     run = running_totals(rows, ["curve", "doc_id", "size", "text_crc32"], "size", "_before", "_place")
     total = run.agg(F.sum("size").cast("double").alias("_total"))
     shard = F.least(F.lit(count - 1), F.floor((F.col("_before") + F.col("size") / 2) * count / F.col("_total"))).cast("int")
@@ -92,7 +113,9 @@ def write(df: DataFrame, path: str, count: int = 40, doc_id: str = "doc_id", tex
     spark, (size, crc, curve, at, shard), (tie, cuts) = df.sparkSession, unused(df, *OWN), unused(df, "_tie", "_cuts")
     by = [curve, doc_id, size, crc, tie]
     rows = df.withColumns({size: (F.octet_length(text_of(text)) + 16).cast("long"), crc: F.crc32(text_of(text)).cast("long"), tie: F.monotonically_increasing_id()})
-    rows = rows.withColumn(curve, hilbert(quantised(F.col(lang), F.col(source), F.col(size))))
+    cells = unused(rows, "_x", "_y", "_z")
+    rows = quantised(rows, size, lang, source, cells)
+    rows = rows.withColumn(curve, hilbert([F.col(c) for c in cells])).drop(*cells)
     run = running_totals(rows.select(*by), by, size, "_before", "_place")
     total = run.agg(F.sum(size).cast("double").alias("_total"))
     run = run.join(F.broadcast(total)).withColumn(shard, F.least(F.lit(count - 1), F.floor((F.col("_before") + F.col(size) / 2) * count / F.col("_total"))).cast("int"))
