@@ -227,7 +227,7 @@ def test_feistel_is_a_permutation(spark):
     df = spark.range(300).selectExpr("array(id div 100, id div 10 % 10, id % 10) as v")
     from pyspark.sql import functions as F
 
-    out = df.select(pii.feistel(F.col("v"), F.array(F.lit(3), F.lit(10), F.lit(10)), "k", F.lit("t")).alias("w")).collect()
+    out = df.select(pii.feistel(F.col("v"), F.array(F.lit(3), F.lit(10), F.lit(10)), F.struct(*(F.lit(x).alias(n) for n, x in zip(("inner", "outer"), pii.pads("k")))), F.lit("t")).alias("w")).collect()
     assert {tuple(r.w) for r in out} == {(a, b, c) for a in range(3) for b in range(10) for c in range(10)}
 
 
