@@ -165,6 +165,10 @@ def digests() -> dict[str, str]:
     return out
 
 
+#: Digests that a registry may have: it is part of the plan, and broadcast.
+MOST_DIGESTS = 20_000
+
+
 def registry(spark: SparkSession, more: dict[str, str] | None = None) -> DataFrame:
     """(digest, license): a few hundred rows, whatever the corpus. `more` adds digests of one's own."""
     return ready(spark).createDataFrame(sorted((digests() | (more or {})).items()), "digest string, license string")
@@ -197,18 +201,21 @@ def scan(df: DataFrame, text: str = "text", more: dict[str, str] | None = None)
     """df with text_digest, license (of a text that is a known licence or notice as a whole) and notices (ids
     of known notices that stand in lines of their own, sorted, once each, joined by a comma).
 
-    Null where there is none. A null or empty text, or one of copyright lines only, is no licence. Rows are
+    Null where there is none. A null or empty text, or one of copyright lines only, is no licence. Texts and lines of
+    any length are taken whole. Rows are
     independent; a repeated row stays; other columns pass, but those of the three names are replaced; an
     empty table stays empty. JVM only: a hash join for texts, and a look-up of each line's digest."""
     spark = df.sparkSession
     known = registry(spark, more)
     table = digests() | (more or {})
+    if len(table) > MOST_DIGESTS:
+        raise ValueError(f"more than {MOST_DIGESTS} digests")
     lookup = F.create_map(*(F.lit(x) for kv in sorted(table.items()) for x in kv))
     df = df.drop("text_digest", "license", "notices")
     lines = unused(df, "_lines")[0]
     df = df.withColumn(lines, _lines(text_of(text))).withColumn("text_digest", F.sha2(_spelled(F.array_join(lines, " ")), 256))
     # a set finds the few lines that are known; the map, which is searched in turn, names them
-    some = F.filter(F.transform(F.filter(lines, lambda x: F.length(x) < 200), lambda x: F.sha2(_spelled(x), 256)), lambda d: d.isin(*sorted(table)))
+    some = F.filter(F.transform(lines, lambda x: F.sha2(_spelled(x), 256)), lambda d: d.isin(*sorted(table)))
     hit = F.transform(some, lambda d: F.try_element_at(lookup, d))
     df = df.withColumn("notices", F.nullif(F.array_join(F.array_sort(F.array_distinct(F.filter(hit, lambda x: x.isNotNull()))), ","), F.lit(""))).drop(lines)
     return df.join(F.broadcast(known.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
@@ -232,6 +239,6 @@ lines AS (
   FROM (SELECT doc_id, text, row_number() OVER () AS rid FROM {table})),
 whole AS (SELECT doc_id, rid, sha256({spelled("array_to_string(l, ' ')")}) AS text_digest FROM lines),
 each AS (SELECT rid, unnest(l) AS x FROM lines),
-found AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM each JOIN known ON sha256({spelled("x")}) = digest WHERE length(x) < 200 GROUP BY rid)
+found AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM each JOIN known ON sha256({spelled("x")}) = digest GROUP BY rid)
 SELECT doc_id, text_digest, license, notices FROM whole LEFT JOIN known ON text_digest = digest LEFT JOIN found USING (rid)
 """

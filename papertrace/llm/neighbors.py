@@ -21,6 +21,8 @@ from .components import components, forest
 
 #: Vectors of a shard, queries of a block, at most (about; they are dealt by hash).
 SHARD_ROWS, BLOCK_ROWS = 32_768, 65_536
+#: Bytes of a shard's vectors as doubles, at most about; longer vectors make smaller shards and blocks.
+SHARD_BYTES = 64_000_000
 #: Blocks at least, so that a label's queries spread over tasks.
 LEAST_BLOCKS = 4
 #: Neighbours of a node (twice as many on the lowest layer), beam when building and when querying.
@@ -200,8 +202,9 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[order], number[inverse.ravel()]
 
 
-def audited(g: Graph, q: np.ndarray, same: np.ndarray, least: float) -> tuple[int, tuple[np.ndarray, np.ndarray] | None]:
-    """(beam, links): the first beam at which the recall, averaged over AUDIT queries with true links, is RECALL.
+def audited(g: Graph, q: np.ndarray, same: np.ndarray, least: float) -> tuple[int, tuple[np.ndarray, np.ndarray] | None, int, float]:
+    """(beam, links, asked, recall): the first beam at which the recall, averaged over AUDIT queries with true links,
+    is RECALL; how many were asked, and the recall that they had.
 
     same is the node equal to each query, or -1, and is no link here. Queries are drawn in seeded order; if all
     are drawn before AUDIT have links, the links found by brute force are whole, and returned."""
@@ -217,19 +220,20 @@ def audited(g: Graph, q: np.ndarray, same: np.ndarray, least: float) -> tuple[in
         many += len(np.unique(true_q[-1]))
     true_q, true_n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (true_q, true_n))
     if drawn == len(q):
-        return BEAM, (true_q, true_n)
+        return BEAM, (true_q, true_n), len(np.unique(true_q)), 1.0
     asked, at, count = np.unique(true_q, return_inverse=True, return_counts=True)
-    truth, beam, n = true_q * len(g.x) + true_n, BEAM, len(g.x)
+    truth, beam, n, recall = true_q * len(g.x) + true_n, BEAM, len(g.x), 1.0
     while 4 * beam < n:
         a, b = g.links(q[asked], least, beam)
         hit = np.isin(truth, asked[a] * n + b)
-        if (np.bincount(at, weights=hit) / count).mean() >= RECALL:
+        recall = float((np.bincount(at, weights=hit) / count).mean())
+        if recall >= RECALL:
             break
-        beam *= 2
-    return beam, None
+        beam, recall = beam * 2, 1.0  # from a quarter of the shard on, a beam is brute force
+    return beam, None, len(asked), recall
 
 
-def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98) -> DataFrame:
+def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, metrics: str | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of df.
 
     Rows link when labels are equal and not null, the vectors have the same length, and their cosine is
@@ -237,14 +241,16 @@ def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     component links with nothing: no links, its own component, kept. component_id is the least vec_id that
     links reach; kept says that this is the row's own (a null vec_id is not kept, and names no component that
     has another). Repeated rows are vectors of their own and link with each other. An empty table gives none.
-    Other columns of df are ignored."""
+    Other columns of df are ignored. Shards and blocks hold at most shard_rows and block_rows vectors, and fewer of
+    great length. `metrics` names a path for what the audits found: a row (shard, block, asked, beam, recall) per search."""
     spark = ready(df.sparkSession)
     good = F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"), F.col(label).alias("label"))
     rows = cut(rows.select("vec_id", "label", "v", F.coalesce(good, F.lit(False)).alias("good"), F.monotonically_increasing_id().alias("rid")))
     fit = rows.where("good").select("rid", "label", F.size("v").alias("dim"), "v")
     per = fit.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    per = per.select("label", "dim", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    fits = lambda rows: F.least(F.lit(rows), F.greatest(F.lit(256), F.floor(SHARD_BYTES / (8 * F.col("dim")))))
+    per = per.select("label", "dim", F.ceil(F.col("n") / fits(shard_rows)).cast("int").alias("shards"), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / fits(block_rows))).cast("int").alias("blocks"))
     fit = fit.join(per, ["label", "dim"])
 
     def build(t: pa.Table) -> pa.Table:
@@ -260,7 +266,7 @@ def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     served = index.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"rid": [], "n": [], "root": []}
+        out = {"rid": [], "n": [], "root": [], "audit": []}
         if left.num_rows and right.num_rows:
             rid, q = left.column("rid").to_numpy(), matrix(left.column("v"))
             own, node = (np.frombuffer(right.column(c)[0].as_py(), np.int64) for c in ("rids", "node"))
@@ -272,7 +278,7 @@ def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
             at = {v.tobytes(): k for k, v in enumerate(x + 0.0)}
             same = np.fromiter((at.get(v.tobytes(), -1) for v in q + 0.0), np.int64, len(q))
             q32 = q.astype(np.float32)
-            beam, whole = audited(g, q32, same, least)
+            beam, whole, drawn, recall = audited(g, q32, same, least)
             n = np.zeros(len(q), dtype=np.int64)  # links of a query, itself among them
             trees: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -309,18 +315,38 @@ def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
             out["rid"] += rid[some].tolist()
             out["n"] += n[some].tolist()
             out["root"] += [None] * len(some)
+            out["rid"].append(None)
+            out["n"].append(None)
+            out["root"].append(None)
+            audit = {"shard": right.column("shard")[0].as_py(), "block": left.column("block")[0].as_py(), "asked": drawn, "beam": len(x) if whole else beam, "recall": recall}
             if trees:
                 a, b = forest(np.concatenate([t[0] for t in trees]), np.concatenate([t[1] for t in trees]))
                 out["rid"] += a.tolist()
                 out["n"] += [0] * len(a)
                 out["root"] += b.tolist()
-        return pa.table(out, schema=pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
+            out["audit"] = [audit if r is None else None for r in out["rid"]]
+        return pa.table(out, schema=pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("audit", pa.struct([("shard", pa.int32()), ("block", pa.int32()), ("asked", pa.int64()), ("beam", pa.int64()), ("recall", pa.float64())]))]))
 
     keys = ["label", "dim", "shard", "block"]
-    found = cut(asked.groupBy(keys).cogroup(served.groupBy(keys)).applyInArrow(search, "rid long, n long, root long"))
-    links = found.where("root is null").groupBy("rid").agg(F.sum("n").alias("n_links"))
+    found = cut(asked.groupBy(keys).cogroup(served.groupBy(keys)).applyInArrow(search, "rid long, n long, root long, audit struct<shard:int,block:int,asked:long,beam:long,recall:double>"))
+    if metrics:
+        found.where("audit is not null").select("audit.*").write.mode("overwrite").parquet(metrics)
+    links = found.where("root is null and rid is not null").groupBy("rid").agg(F.sum("n").alias("n_links"))
     roots = components(found.where("root is not null"), "rid", "root").withColumnRenamed("vertex", "rid")
     placed = rows.select("rid", "vec_id").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     lows = placed.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     out = placed.join(lows, "root").join(links, "rid", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def oracle(table: str = "embeddings", least: float = 0.98) -> str:
+    """DuckDB SQL for op10_neighbors: all pairs of a label, and reachability."""
+    return f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM {table}),
+fit AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.rid AS a, b.rid AS b FROM fit a JOIN fit b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid AND list_cosine_similarity(a.e, b.e) >= {least}),
+r(rid, root) AS (SELECT rid, rid FROM v UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.rid),
+c AS (SELECT r.rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.root GROUP BY r.rid),
+n AS (SELECT a AS rid, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -96,5 +96,7 @@ FROM p JOIN g ON sha256(html) = d
 """,
     "op4_quality": quality.oracle(),
     "op5_licenses": licenses.oracle(),
+    "op7_substrings": substrings.oracle(),
     "op9_mixing": mixing.oracle(),
+    "op10_neighbors": neighbors.oracle(),
 }

@@ -344,3 +344,16 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span:
     done = light.mapInArrow(remove, "doc long, n_words long, n_removed long, kept string")
     kind = df.schema[doc_id].dataType
     return done.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(kind).alias("doc_id"), "n_words", "n_removed", "kept")
+
+
+def oracle(table: str = "documents", span: int = SPAN) -> str:
+    """DuckDB SQL for op7_substrings: every window of every text by digest."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS doc, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+win AS (SELECT rid, doc, i, md5(array_to_string(w[i:i + {span - 1}], ' ')) AS h FROM (SELECT rid, doc, w, unnest(range(1, len(w) - {span - 2})) AS i FROM d)),
+low AS (SELECT h, min({{'doc': doc, 'i': i}}) AS low FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM (SELECT rid, i FROM win JOIN low USING (h) WHERE doc > low.doc OR doc = low.doc AND i > low.i), (SELECT unnest(range(0, {span})) AS k)),
+word AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT rid, count(gone.i) AS n, string_agg(x, ' ' ORDER BY word.i) FILTER (WHERE gone.i IS NULL) AS t FROM word LEFT JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""

@@ -26,8 +26,8 @@ def test_audit_weighs_queries_alike():
 
     x = np.concatenate([pairs, hot, unit(r.normal(size=(2000, 24)))]).astype(np.float32)
     q = np.concatenate([hot, base]).astype(np.float32)
-    beam, whole = neighbors.audited(Blind(x, [], 0), q, np.full(len(q), -1), 0.98)
-    assert beam == 256 and whole is None
+    beam, whole, asked, recall = neighbors.audited(Blind(x, [], 0), q, np.full(len(q), -1), 0.98)
+    assert beam == 256 and whole is None and asked >= neighbors.AUDIT and recall >= neighbors.RECALL
 
 
 def test_rare_links_are_audited_without_self_matches():
@@ -35,7 +35,7 @@ def test_rare_links_are_audited_without_self_matches():
     x = unit(r.normal(size=(3000, 24))).astype(np.float32)
     x[10] = unit(x[:1] + 0.001)[0]
     g = neighbors.Graph(x, [], 0)  # never walked: brute force over all is what it finds
-    beam, whole = neighbors.audited(g, x, np.arange(len(x)), 0.98)
+    beam, whole, *_ = neighbors.audited(g, x, np.arange(len(x)), 0.98)
     assert whole is not None and set(zip(*map(list, whole))) == {(0, 10), (10, 0)}
 
 
@@ -52,3 +52,21 @@ def test_copies_do_not_hide_others(spark):
     assert all(got[i].component_id == min(i, *np.flatnonzero(link[i]).tolist()) for i in range(len(x)))
     first, node = neighbors.distinct(y)
     assert len(first) == 300 and (first[node[:201]] == 0).all()
+
+
+def test_many_shards_and_blocks(spark, tmp_path):
+    """One label over several shards and blocks, in graphs: recall at least 0.99 of brute force, no link below the
+    limit, and the audits' figures."""
+    r = np.random.default_rng(11)
+    base = unit(r.normal(size=(900, 20)))
+    x = unit(np.concatenate([base, base[:600] + r.normal(size=(600, 20)) * 0.02, base[:300] + r.normal(size=(300, 20)) * 0.03, np.repeat(base[:1], 80, axis=0)])).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {row.vec_id: row for row in neighbors.linked(df, shard_rows=600, block_rows=500, metrics=str(tmp_path / "m")).collect()}
+    y = unit(x.astype(float))
+    link = y @ y.T >= 0.98
+    np.fill_diagonal(link, False)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= link.sum(axis=1)).all() and found.sum() >= 0.99 * link.sum() > 0
+    audits = spark.read.parquet(str(tmp_path / "m")).collect()
+    assert len({(a.shard, a.block) for a in audits}) == len(audits) == 4 * 4
+    assert all(a.recall >= neighbors.RECALL for a in audits) and sum(a.asked for a in audits) > 300
