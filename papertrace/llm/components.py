@@ -1,7 +1,8 @@
 """Connected components over an edge table, by alternating large-star and small-star rounds.
 
-Every round is two aggregations with map-side combine and two joins; no vertex's neighbours are gathered
-in one place, and nothing but two numbers per round reaches the driver.
+Every round is two aggregations with map-side combine and two joins on a vertex; no vertex's neighbours are gathered
+in a row or in memory, a partition of one that has very many is split by the adaptive plan, and nothing but two
+numbers per round reaches the driver.
 """
 
 from __future__ import annotations
