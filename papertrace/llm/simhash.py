@@ -185,6 +185,8 @@ SIMILAR, MISSED = 0.8, 0.01
 #: Bits of a signature; a table takes so many of them as number the texts, and SPARE more; a pair may differ in
 #: NEAR of a table's bits.
 SIGNATURE, SPARE, NEAR = 256, 18, 2
+#: Tables that are looked at first; what they link needs no more pairs in the others.
+FIRST = 8
 #: Standard deviations by which the signatures of a similar pair may differ in more bits than on average.
 DOUBT = 6.0
 _U = np.uint64
@@ -238,17 +240,18 @@ def tables(n: int, similar: float = SIMILAR) -> list[np.ndarray]:
     return [np.sort(np.random.default_rng([SEED, bits, t]).choice(SIGNATURE, bits, replace=False)) for t in range(many)]
 
 
-def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes whose fingerprints of `width` bits meet in one bucket of a table: each emits all values within
     NEAR / 2 bits, and of those who share a value, in order of nodes, each is paired with the next two. So no node
-    stands for all others of a group, and nobody's pairs grow with it."""
+    stands for all others of a group, and nobody's pairs grow with it. Nodes of one root need no pair."""
+    root = node if root is None else root
     error = np.concatenate([np.zeros(1, np.uint64), _BITS[:width]])
     sub = max(0, math.ceil(math.log2(max(1.0, len(f) * len(error) / (1 << bits) / AT_ONCE))))
     total = bits + sub
     shift = np.concatenate([np.zeros(1, np.int64), COLUMNS[:width]]) >> (32 - total)
     syn = syndrome(f) >> (32 - total)
     order = np.argsort(syn, kind="stable")
-    node, f, syn = node[order], f[order], syn[order]
+    node, f, syn, root = node[order], f[order], syn[order], root[order]
     first = np.searchsorted(syn, np.arange((1 << total) + 1))
     out: list[np.ndarray] = []
     for at in range(bucket << sub, (bucket + 1) << sub):
@@ -263,11 +266,11 @@ def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int)
             continue
         k = np.minimum(np.searchsorted(again, v), len(again) - 1)
         hit = np.flatnonzero(again[k] == v)
-        who, k = node[np.concatenate([np.arange(lo, hi) for _, lo, hi in spans])[hit]], k[hit]
-        order = np.lexsort((who, k))
-        who, k = who[order], k[order]
+        at_, k = np.concatenate([np.arange(lo, hi) for _, lo, hi in spans])[hit], k[hit]
+        order = np.lexsort((node[at_], k))
+        who, of, k = node[at_[order]], root[at_[order]], k[order]
         for d in (1, 2):
-            same = k[d:] == k[:-d]
+            same = (k[d:] == k[:-d]) & (of[d:] != of[:-d])
             out.append(np.stack([who[d:][same], who[:-d][same]], axis=1))
         if sum(map(len, out)) > AT_ONCE:
             out = [np.unique(np.concatenate(out), axis=0)]
@@ -275,24 +278,22 @@ def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int)
     return pairs[:, 0], pairs[:, 1]
 
 
-def candidates(nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(a, b): pairs of nodes (node, sig) that meet in a table and whose whole signatures differ in no more bits than
-    those of a similar pair may."""
-    spark = ready(nodes.sparkSession)
-    n = nodes.count()
-    places, bits = tables(n, similar), 0
+def candidates(nodes: DataFrame, n: int, places: list[np.ndarray], similar: float = SIMILAR) -> DataFrame:
+    """(a, b): pairs of the n nodes (node, root, sig) that meet in a table, have different roots, and whose whole
+    signatures differ in no more bits than those of a similar pair may."""
+    spark, bits = ready(nodes.sparkSession), 0
     width = len(places[0])
     while n * min(1.0, (width + 1) / (1 << bits)) > BUCKET_ROWS and bits < 20:
         bits += 1
-    schema = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("fps", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("roots", pa.binary()), ("fps", pa.binary())])
 
     def deal(batches):
         weight = _BITS[:width]
         shift = np.unique(np.concatenate([np.zeros(1, np.int64), COLUMNS[:width]]) >> (32 - bits))
         for batch in batches:
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            sig = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(bool)
-            rows = {"bucket": [], "nodes": [], "fps": []}
+            node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            sig = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(bool)
+            rows = {"bucket": [], "nodes": [], "roots": [], "fps": []}
             for t, place in enumerate(places):
                 f = np.where(sig[:, place], weight, _U(0)).sum(axis=1, dtype=np.uint64)
                 to = (syndrome(f) >> (32 - bits))[:, None] ^ shift
@@ -300,15 +301,16 @@ def candidates(nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
                     i = np.flatnonzero((to == b).any(axis=1))
                     rows["bucket"].append((t << bits) + b)
                     rows["nodes"].append(node[i].tobytes())
+                    rows["roots"].append(root[i].tobytes())
                     rows["fps"].append(f[i].tobytes())
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     def join(t: pa.Table) -> pa.Table:
-        node, f = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("nodes", np.int64), ("fps", np.uint64)))
-        a, b = chains(node, f, width, t.column("bucket")[0].as_py() & ((1 << bits) - 1), bits)
+        node, root, f = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("nodes", np.int64), ("roots", np.int64), ("fps", np.uint64)))
+        a, b = chains(node, f, width, t.column("bucket")[0].as_py() & ((1 << bits) - 1), bits, root)
         return pa.table({"a": a, "b": b})
 
-    dealt = nodes.select("node", "sig").mapInArrow(deal, "bucket long, nodes binary, fps binary")
+    dealt = nodes.select("node", "root", "sig").mapInArrow(deal, "bucket long, nodes binary, roots binary, fps binary")
     parts = min(4096, max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(places) << bits))
     pairs = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
     q = differing(similar)
@@ -339,11 +341,7 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     rows = rows.withColumn("s", sketch(text_of(F.col("row")[text]))).select("row", F.col("row")[doc_id].alias("id"), "s.node", "s.sig", F.monotonically_increasing_id().alias("rid"))
     rows = cut(rows)
     words = [F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(SIGNATURE // 64)]
-    nodes = cut(rows.groupBy("node").agg(F.min("rid").alias("rid"), F.first("sig").alias("sig")).select("node", "rid", "sig", *words))
-    pairs = cut(candidates(nodes, similar))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.select("rid", text_of(F.col("row")[text]).alias("text")).join(nodes.join(asked, "node").select("rid", "node"), "rid").select("node", "text")
-    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
+    nodes = cut(rows.groupBy("node").agg(F.min("rid").alias("rid"), F.first("sig").alias("sig")).select("node", F.col("node").alias("root"), "rid", "sig", *words))
 
     def verify(batches):
         last: dict[int, np.ndarray] = {}
@@ -362,7 +360,18 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                 keep.append(shared >= similar * (len(x) + len(y) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    linked = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
-    placed = rows.select("rid", "id", "node").join(components(linked).withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = rows.select("rid", text_of(F.col("row")[text]).alias("text")).join(nodes.join(asked, "node").select("rid", "node"), "rid").select("node", "text")
+        both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
+        return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+
+    # the first tables join most of a group of near copies; the others are asked for pairs across what is joined
+    n = nodes.count()
+    places = tables(n, similar)
+    joined = cut(components(linked(cut(candidates(nodes, n, places[:FIRST], similar)))).select(F.col("vertex").alias("a"), F.col("root").alias("b")))
+    across = nodes.drop("root").join(joined.withColumnsRenamed({"a": "node", "b": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = joined.unionByName(linked(cut(candidates(cut(across), n, places[FIRST:], similar))))
+    placed = rows.select("rid", "id", "node").join(components(links).withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("stays"))
     return rows.join(stay.select(F.col("stays.rid").alias("rid")), "rid", "left_semi").select("row.*")
