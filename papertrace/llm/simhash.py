@@ -10,6 +10,8 @@ bucket, which the task writes out for itself. Equal values have equal buckets, s
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -185,10 +187,14 @@ SIMILAR, MISSED = 0.8, 0.01
 #: Bits of a signature; a table takes so many of them as number the texts, and SPARE more; a pair may differ in
 #: NEAR of a table's bits.
 SIGNATURE, SPARE, NEAR = 256, 18, 2
+#: Bits of a set's parities.
+PARITIES = 1024
 #: Tables that are looked at first; what they link needs no more pairs in the others.
 FIRST = 8
 #: Standard deviations by which the signatures of a similar pair may differ in more bits than on average.
 DOUBT = 6.0
+#: The columns of a node's signature and parities, 64 bits each.
+WORDS = [f"sig{k}" for k in range(SIGNATURE // 64)] + [f"odd{k}" for k in range(PARITIES // 64)]
 _U = np.uint64
 _FACTORS, _WORDS = (np.random.default_rng(k).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1) for k in (20240301, 20240302))
 
@@ -223,6 +229,12 @@ def signature_of(s: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(s)).tobytes()
 
 
+def parities_of(s: np.ndarray) -> bytes:
+    """Bit k tells whether an odd number of a set's hashes are k modulo PARITIES. Where two sets' bits differ, some
+    hash is in one of them only: they differ in no fewer hashes than bits."""
+    return np.packbits(np.bincount((s % _U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
 def differing(similar: float = SIMILAR) -> float:
     """The chance that a signature's bit differs between sets of a Jaccard similarity."""
     return math.acos(2 * similar / (1 + similar)) / math.pi
@@ -279,8 +291,9 @@ def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int,
 
 
 def candidates(nodes: DataFrame, n: int, places: list[np.ndarray], similar: float = SIMILAR) -> DataFrame:
-    """(a, b): pairs of the n nodes (node, root, sig) that meet in a table, have different roots, and whose whole
-    signatures differ in no more bits than those of a similar pair may."""
+    """(a, b): pairs of the n nodes (node, root, sig, size and the words of WORDS) that meet in a table, have
+    different roots, whose whole signatures differ in no more bits than those of a similar pair may, and whose
+    parities don't rule out that the sets are similar."""
     spark, bits = ready(nodes.sparkSession), 0
     width = len(places[0])
     while n * min(1.0, (width + 1) / (1 << bits)) > BUCKET_ROWS and bits < 20:
@@ -315,9 +328,11 @@ def candidates(nodes: DataFrame, n: int, places: list[np.ndarray], similar: floa
     pairs = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
     q = differing(similar)
     most = int(SIGNATURE * q + DOUBT * math.sqrt(SIGNATURE * q * (1 - q)))
-    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(f"w{k}").alias(f"{c}{k}") for k in range(SIGNATURE // 64)))
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, SIGNATURE // 64)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
+    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(w).alias(f"{c}_{w}") for w in ("size", *WORDS)))
+    apart = lambda kind: reduce(add, (F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS if w.startswith(kind)))
+    # sets of sizes x and y with s in common differ in x + y - 2s hashes, and s >= similar * (x + y - s) bounds that
+    unlike = (F.col("a_size") + F.col("b_size")) * F.lit((1 - similar) / (1 + similar)) + F.lit(1e-6)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where((apart("sig") <= most) & (apart("odd") <= unlike)).select("a", "b")
 
 
 def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
@@ -326,22 +341,25 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     Texts with equal sets of shingles are one node; those without words (null and empty ones too) have the empty set.
     Nodes meet by SimHash as in links(), in tables of a longer signature's bits, as one fingerprint of 64 bits tells
-    too little at such a similarity; every pair is then verified by its whole sets, so no link rests on an estimate.
+    too little at such a similarity; every pair that the bound of parities_of() leaves is then verified by its whole
+    sets, so no link rests on an estimate.
     A pair at `similar` is missed with a chance of MISSED, others with less. Texts of any length are taken whole.
     df's columns come back as they were; no rows, no result."""
     spark = ready(df.sparkSession)
 
-    @F.arrow_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType())]))
+    @F.arrow_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("odd", T.BinaryType()), T.StructField("size", T.LongType())]))
     def sketch(a: pa.Array) -> pa.Array:
         sets = [shingles_of(x.as_py(), shingle) for x in a.cast(pa.binary())]
         node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(node), pa.array([signature_of(s) for s in sets], pa.binary())], names=["node", "sig"])
+        bits = [pa.array([of(s) for s in sets], pa.binary()) for of in (signature_of, parities_of)]
+        return pa.StructArray.from_arrays([pa.array(node), *bits, pa.array([len(s) for s in sets], pa.int64())], names=["node", "sig", "odd", "size"])
 
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    rows = rows.withColumn("s", sketch(text_of(F.col("row")[text]))).select("row", F.col("row")[doc_id].alias("id"), "s.node", "s.sig", F.monotonically_increasing_id().alias("rid"))
+    rows = rows.withColumn("s", sketch(text_of(F.col("row")[text]))).select("row", F.col("row")[doc_id].alias("id"), "s.node", "s.sig", "s.odd", "s.size", F.monotonically_increasing_id().alias("rid"))
     rows = cut(rows)
-    words = [F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(SIGNATURE // 64)]
-    nodes = cut(rows.groupBy("node").agg(F.min("rid").alias("rid"), F.first("sig").alias("sig")).select("node", F.col("node").alias("root"), "rid", "sig", *words))
+    words = [F.conv(F.hex(F.substring(w[:3], 8 * int(w[3:]) + 1, 8)), 16, -10).cast("long").alias(w) for w in WORDS]
+    nodes = rows.groupBy("node").agg(F.min("rid").alias("rid"), *(F.first(c).alias(c) for c in ("sig", "odd", "size")))
+    nodes = cut(nodes.select("node", F.col("node").alias("root"), "rid", "sig", "size", *words))
 
     def verify(batches):
         last: dict[int, np.ndarray] = {}

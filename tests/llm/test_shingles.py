@@ -90,3 +90,12 @@ def test_chains_pair_all_that_meet(bits):
 
     a, b = roots(found), roots(near)
     assert len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def test_parities_bound_the_difference():
+    """Sets of any size differ in no fewer hashes than parities, and in just as many where those are few."""
+    r = np.random.default_rng(7)
+    for n, apart in ((0, 0), (0, 1), (1, 1), (5, 1), (300, 0), (300, 3), (300, 60), (20_000, 5_000)):
+        x = np.unique(r.integers(0, 1 << 63, n + apart, dtype=np.uint64))
+        a, b = (int.from_bytes(simhash.parities_of(s), "little") for s in (x[:n], x))
+        assert (a ^ b).bit_count() <= apart and ((a ^ b).bit_count() == apart or apart > 3)
