@@ -186,11 +186,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 SIMILAR, MISSED = 0.8, 0.01
 #: Bits of a signature; a table takes so many of them as number the texts, and SPARE more; a pair may differ in
 #: NEAR of a table's bits.
-SIGNATURE, SPARE, NEAR = 256, 18, 2
-#: Bits of a set's parities.
-PARITIES = 1024
+SIGNATURE, SPARE, NEAR = 256, 18, 4
+#: Bits of a set's parities, and of the shorter ones that travel to the tables.
+PARITIES, SHORT = 1024, 256
 #: Tables that are looked at first; what they link needs no more pairs in the others.
-FIRST = 8
+FIRST = 2
 #: Standard deviations by which the signatures of a similar pair may differ in more bits than on average.
 DOUBT = 6.0
 #: The columns of a node's signature and parities, 64 bits each.
@@ -229,10 +229,10 @@ def signature_of(s: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(s)).tobytes()
 
 
-def parities_of(s: np.ndarray) -> bytes:
-    """Bit k tells whether an odd number of a set's hashes are k modulo PARITIES. Where two sets' bits differ, some
+def parities_of(s: np.ndarray, many: int = PARITIES) -> bytes:
+    """Bit k tells whether an odd number of a set's hashes are k modulo `many`. Where two sets' bits differ, some
     hash is in one of them only: they differ in no fewer hashes than bits."""
-    return np.packbits(np.bincount((s % _U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+    return np.packbits(np.bincount((s % _U(many)).astype(np.int64), minlength=many) & 1).tobytes()
 
 
 def differing(similar: float = SIMILAR) -> float:
@@ -252,18 +252,25 @@ def tables(n: int, similar: float = SIMILAR) -> list[np.ndarray]:
     return [np.sort(np.random.default_rng([SEED, bits, t]).choice(SIGNATURE, bits, replace=False)) for t in range(many)]
 
 
-def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def ball(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The errors of up to NEAR / 2 bits in fingerprints of `width` bits, and their syndromes."""
+    own = ERRORS >> _U(width) == 0
+    return ERRORS[own], SYNDROMES[own]
+
+
+def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int, root: np.ndarray | None = None, like=None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes whose fingerprints of `width` bits meet in one bucket of a table: each emits all values within
     NEAR / 2 bits, and of those who share a value, in order of nodes, each is paired with the next two. So no node
-    stands for all others of a group, and nobody's pairs grow with it. Nodes of one root need no pair."""
+    stands for all others of a group, and nobody's pairs grow with it. Nodes of one root need no pair, nor do those
+    for whose places in `node` like(i, j) is false."""
     root = node if root is None else root
-    error = np.concatenate([np.zeros(1, np.uint64), _BITS[:width]])
+    error, shift = ball(width)
     sub = max(0, math.ceil(math.log2(max(1.0, len(f) * len(error) / (1 << bits) / AT_ONCE))))
     total = bits + sub
-    shift = np.concatenate([np.zeros(1, np.int64), COLUMNS[:width]]) >> (32 - total)
+    shift = shift >> (32 - total)
     syn = syndrome(f) >> (32 - total)
     order = np.argsort(syn, kind="stable")
-    node, f, syn, root = node[order], f[order], syn[order], root[order]
+    node, f, syn, root, place = node[order], f[order], syn[order], root[order], order
     first = np.searchsorted(syn, np.arange((1 << total) + 1))
     out: list[np.ndarray] = []
     for at in range(bucket << sub, (bucket + 1) << sub):
@@ -280,10 +287,16 @@ def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int,
         hit = np.flatnonzero(again[k] == v)
         at_, k = np.concatenate([np.arange(lo, hi) for _, lo, hi in spans])[hit], k[hit]
         order = np.lexsort((node[at_], k))
-        who, of, k = node[at_[order]], root[at_[order]], k[order]
+        at_, k = at_[order], k[order]
+        of = root[at_]
         for d in (1, 2):
             same = (k[d:] == k[:-d]) & (of[d:] != of[:-d])
-            out.append(np.stack([who[d:][same], who[:-d][same]], axis=1))
+            met = np.unique(at_[d:][same] * np.int64(len(f)) + at_[:-d][same])
+            x, y = met // len(f), met % len(f)
+            if like is not None:
+                own = like(place[x], place[y])
+                x, y = x[own], y[own]
+            out.append(np.stack([node[x], node[y]], axis=1))
         if sum(map(len, out)) > AT_ONCE:
             out = [np.unique(np.concatenate(out), axis=0)]
     pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
@@ -296,17 +309,19 @@ def candidates(nodes: DataFrame, n: int, places: list[np.ndarray], similar: floa
     parities don't rule out that the sets are similar."""
     spark, bits = ready(nodes.sparkSession), 0
     width = len(places[0])
-    while n * min(1.0, (width + 1) / (1 << bits)) > BUCKET_ROWS and bits < 20:
+    while n * min(1.0, len(ball(width)[0]) / (1 << bits)) > BUCKET_ROWS and bits < 20:
         bits += 1
-    schema = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("roots", pa.binary()), ("fps", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("nodes", "roots", "fps", "sizes", "odds"))])
 
     def deal(batches):
         weight = _BITS[:width]
-        shift = np.unique(np.concatenate([np.zeros(1, np.int64), COLUMNS[:width]]) >> (32 - bits))
+        shift = np.unique(ball(width)[1] >> (32 - bits))
         for batch in batches:
             node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             sig = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(bool)
-            rows = {"bucket": [], "nodes": [], "roots": [], "fps": []}
+            size = batch.column(3).to_numpy(zero_copy_only=False)
+            odd = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(node), -1)
+            rows = {name: [] for name in schema.names}
             for t, place in enumerate(places):
                 f = np.where(sig[:, place], weight, _U(0)).sum(axis=1, dtype=np.uint64)
                 to = (syndrome(f) >> (32 - bits))[:, None] ^ shift
@@ -316,14 +331,25 @@ def candidates(nodes: DataFrame, n: int, places: list[np.ndarray], similar: floa
                     rows["nodes"].append(node[i].tobytes())
                     rows["roots"].append(root[i].tobytes())
                     rows["fps"].append(f[i].tobytes())
+                    rows["sizes"].append(size[i].tobytes())
+                    rows["odds"].append(odd[i].tobytes())
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     def join(t: pa.Table) -> pa.Table:
-        node, root, f = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("nodes", np.int64), ("roots", np.int64), ("fps", np.uint64)))
-        a, b = chains(node, f, width, t.column("bucket")[0].as_py() & ((1 << bits) - 1), bits, root)
+        node, root, f, size, odd = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("nodes", np.int64), ("roots", np.int64), ("fps", np.uint64), ("sizes", np.int64), ("odds", np.uint64)))
+        odd = odd.reshape(len(node), -1)
+
+        def like(i, j):
+            ok = np.zeros(len(i), dtype=bool)
+            for k in range(0, len(i), AT_ONCE // 8):
+                x, y = i[k : k + AT_ONCE // 8], j[k : k + AT_ONCE // 8]
+                ok[k : k + len(x)] = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1) <= (size[x] + size[y]) * ((1 - similar) / (1 + similar)) + 1e-6
+            return ok
+
+        a, b = chains(node, f, width, t.column("bucket")[0].as_py() & ((1 << bits) - 1), bits, root, like)
         return pa.table({"a": a, "b": b})
 
-    dealt = nodes.select("node", "root", "sig").mapInArrow(deal, "bucket long, nodes binary, roots binary, fps binary")
+    dealt = nodes.select("node", "root", "sig", "size", "short").mapInArrow(deal, ", ".join(f"{c} {'long' if c == 'bucket' else 'binary'}" for c in schema.names))
     parts = min(4096, max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(places) << bits))
     pairs = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
     q = differing(similar)
@@ -347,19 +373,19 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     df's columns come back as they were; no rows, no result."""
     spark = ready(df.sparkSession)
 
-    @F.arrow_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("odd", T.BinaryType()), T.StructField("size", T.LongType())]))
+    @F.arrow_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("odd", T.BinaryType()), T.StructField("short", T.BinaryType()), T.StructField("size", T.LongType())]))
     def sketch(a: pa.Array) -> pa.Array:
         sets = [shingles_of(x.as_py(), shingle) for x in a.cast(pa.binary())]
         node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-        bits = [pa.array([of(s) for s in sets], pa.binary()) for of in (signature_of, parities_of)]
-        return pa.StructArray.from_arrays([pa.array(node), *bits, pa.array([len(s) for s in sets], pa.int64())], names=["node", "sig", "odd", "size"])
+        bits = [pa.array([of(s) for s in sets], pa.binary()) for of in (signature_of, parities_of, lambda s: parities_of(s, SHORT))]
+        return pa.StructArray.from_arrays([pa.array(node), *bits, pa.array([len(s) for s in sets], pa.int64())], names=["node", "sig", "odd", "short", "size"])
 
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    rows = rows.withColumn("s", sketch(text_of(F.col("row")[text]))).select("row", F.col("row")[doc_id].alias("id"), "s.node", "s.sig", "s.odd", "s.size", F.monotonically_increasing_id().alias("rid"))
+    rows = rows.withColumn("s", sketch(text_of(F.col("row")[text]))).select("row", F.col("row")[doc_id].alias("id"), "s.node", "s.sig", "s.odd", "s.short", "s.size", F.monotonically_increasing_id().alias("rid"))
     rows = cut(rows)
     words = [F.conv(F.hex(F.substring(w[:3], 8 * int(w[3:]) + 1, 8)), 16, -10).cast("long").alias(w) for w in WORDS]
-    nodes = rows.groupBy("node").agg(F.min("rid").alias("rid"), *(F.first(c).alias(c) for c in ("sig", "odd", "size")))
-    nodes = cut(nodes.select("node", F.col("node").alias("root"), "rid", "sig", "size", *words))
+    nodes = rows.groupBy("node").agg(F.min("rid").alias("rid"), *(F.first(c).alias(c) for c in ("sig", "odd", "short", "size")))
+    nodes = cut(nodes.select("node", F.col("node").alias("root"), "rid", "sig", "short", "size", *words))
 
     def verify(batches):
         last: dict[int, np.ndarray] = {}

@@ -78,7 +78,7 @@ def test_chains_pair_all_that_meet(bits):
     found = set()
     for bucket in range(1 << bits):
         found |= set(zip(*(c.tolist() for c in simhash.chains(node, f, 24, bucket, bits))))
-    near = {(max(p, q), min(p, q)) for (p, x), (q, y) in itertools.combinations(zip(node.tolist(), f.tolist()), 2) if (x ^ y).bit_count() <= 2}
+    near = {(max(p, q), min(p, q)) for (p, x), (q, y) in itertools.combinations(zip(node.tolist(), f.tolist()), 2) if (x ^ y).bit_count() <= simhash.NEAR}
     assert found <= near
     def roots(pairs):
         p = list(range(len(f)))
