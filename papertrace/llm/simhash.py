@@ -187,6 +187,9 @@ SIMILAR, MISSED = 0.8, 0.01
 #: Bits of a signature; a table takes so many of them as number the texts, and SPARE more; a pair may differ in
 #: NEAR of a table's bits.
 SIGNATURE, SPARE, NEAR = 256, 18, 4
+#: Nodes that a bucket of a table may hold (64 bytes each); where there are more, some bits of a table have to be equal
+#: and tell the bucket, so that a node goes to one bucket of each table.
+TABLE_ROWS = 500_000
 #: Bits of a set's parities, and of the shorter ones that travel to the tables.
 PARITIES, SHORT = 1024, 256
 #: Tables that are looked at first; what they link needs no more pairs in the others.
@@ -240,16 +243,23 @@ def differing(similar: float = SIMILAR) -> float:
     return math.acos(2 * similar / (1 + similar)) / math.pi
 
 
+def equal_bits(n: int) -> int:
+    """How many bits of a table have to be equal, for n texts: each halves the nodes of a bucket."""
+    return max(0, math.ceil(math.log2(max(n, 1) / TABLE_ROWS)))
+
+
 def tables(n: int, similar: float = SIMILAR) -> list[np.ndarray]:
-    """The bits that each table takes of a signature, for n texts. A pair's D differing bits of all are binomial,
-    and those in a table hypergeometric; there are as many tables as miss MISSED of the pairs at `similar`."""
-    bits, q = max(24, math.ceil(math.log2(max(n, 2))) + SPARE), differing(similar)
+    """The bits that each table takes of a signature, for n texts, first those that have to be equal. A pair's D
+    differing bits of all are binomial, and those in a table hypergeometric; there are as many tables as miss MISSED
+    of the pairs at `similar`."""
+    bits, equal, q = max(24, math.ceil(math.log2(max(n, 2))) + SPARE), equal_bits(n), differing(similar)
     share = [math.comb(SIGNATURE, d) * q**d * (1 - q) ** (SIGNATURE - d) for d in range(SIGNATURE + 1)]
-    hit = [sum(math.comb(d, k) * math.comb(SIGNATURE - d, bits - k) for k in range(NEAR + 1) if k <= d) / math.comb(SIGNATURE, bits) for d in range(SIGNATURE + 1)]
+    hit = [sum(math.comb(d, k) * math.comb(SIGNATURE - d, bits - k) * math.comb(bits - k, equal) for k in range(NEAR + 1) if k <= d) / (math.comb(SIGNATURE, bits) * math.comb(bits, equal)) for d in range(SIGNATURE + 1)]
     many = 1
     while sum(p * (1 - h) ** many for p, h in zip(share, hit)) > MISSED:
         many += 1 + many // 32
-    return [np.sort(np.random.default_rng([SEED, bits, t]).choice(SIGNATURE, bits, replace=False)) for t in range(many)]
+    places = [np.random.default_rng([SEED, bits, t]).choice(SIGNATURE, bits, replace=False) for t in range(many)]
+    return [np.concatenate([p[:equal], np.sort(p[equal:])]) for p in places]
 
 
 def ball(width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,15 +317,12 @@ def candidates(nodes: DataFrame, n: int, places: list[np.ndarray], similar: floa
     """(a, b): pairs of the n nodes (node, root, sig, size and the words of WORDS) that meet in a table, have
     different roots, whose whole signatures differ in no more bits than those of a similar pair may, and whose
     parities don't rule out that the sets are similar."""
-    spark, bits = ready(nodes.sparkSession), 0
-    width = len(places[0])
-    while n * min(1.0, len(ball(width)[0]) / (1 << bits)) > BUCKET_ROWS and bits < 20:
-        bits += 1
+    spark, equal = ready(nodes.sparkSession), equal_bits(n)
+    width = len(places[0]) - equal
     schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("nodes", "roots", "fps", "sizes", "odds"))])
 
     def deal(batches):
-        weight = _BITS[:width]
-        shift = np.unique(ball(width)[1] >> (32 - bits))
+        weight, share = _BITS[:width], np.int64(1) << np.arange(equal, dtype=np.int64)
         for batch in batches:
             node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             sig = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(bool)
@@ -323,11 +330,11 @@ def candidates(nodes: DataFrame, n: int, places: list[np.ndarray], similar: floa
             odd = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(node), -1)
             rows = {name: [] for name in schema.names}
             for t, place in enumerate(places):
-                f = np.where(sig[:, place], weight, _U(0)).sum(axis=1, dtype=np.uint64)
-                to = (syndrome(f) >> (32 - bits))[:, None] ^ shift
-                for b in np.unique(to).tolist():
-                    i = np.flatnonzero((to == b).any(axis=1))
-                    rows["bucket"].append((t << bits) + b)
+                f = np.where(sig[:, place[equal:]], weight, _U(0)).sum(axis=1, dtype=np.uint64)
+                to = np.where(sig[:, place[:equal]], share, 0).sum(axis=1, dtype=np.int64)
+                order = np.argsort(to, kind="stable")
+                for i in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                    rows["bucket"].append((t << equal) + int(to[i[0]]))
                     rows["nodes"].append(node[i].tobytes())
                     rows["roots"].append(root[i].tobytes())
                     rows["fps"].append(f[i].tobytes())
@@ -346,11 +353,11 @@ def candidates(nodes: DataFrame, n: int, places: list[np.ndarray], similar: floa
                 ok[k : k + len(x)] = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1) <= (size[x] + size[y]) * ((1 - similar) / (1 + similar)) + 1e-6
             return ok
 
-        a, b = chains(node, f, width, t.column("bucket")[0].as_py() & ((1 << bits) - 1), bits, root, like)
+        a, b = chains(node, f, width, 0, 0, root, like)
         return pa.table({"a": a, "b": b})
 
     dealt = nodes.select("node", "root", "sig", "size", "short").mapInArrow(deal, ", ".join(f"{c} {'long' if c == 'bucket' else 'binary'}" for c in schema.names))
-    parts = min(4096, max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(places) << bits))
+    parts = min(4096, max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(places) << equal))
     pairs = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
     q = differing(similar)
     most = int(SIGNATURE * q + DOUBT * math.sqrt(SIGNATURE * q * (1 - q)))

@@ -99,3 +99,50 @@ def test_parities_bound_the_difference():
         x = np.unique(r.integers(0, 1 << 63, n + apart, dtype=np.uint64))
         a, b = (int.from_bytes(simhash.parities_of(s), "little") for s in (x[:n], x))
         assert (a ^ b).bit_count() <= apart and ((a ^ b).bit_count() == apart or apart > 3)
+
+
+def written(spark):
+    """Bytes of shuffles written so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def signed(n, seed):
+    """Nodes of random sets, every other one a near copy of that before it."""
+    r, out, x = np.random.default_rng(seed), [], None
+    for k in range(n):
+        x = r.integers(0, 1 << 63, 200, dtype=np.uint64) if k % 2 == 0 else np.concatenate([x[:195], r.integers(0, 1 << 63, 5, dtype=np.uint64)])
+        s = np.unique(x)
+        words = np.frombuffer(simhash.signature_of(s) + simhash.parities_of(s), ">i8").tolist()
+        out.append((k, k, bytearray(simhash.signature_of(s)), bytearray(simhash.parities_of(s, simhash.SHORT)), len(s), *words))
+    return out, "node long, root long, sig binary, short binary, size long, " + ", ".join(f"{w} long" for w in simhash.WORDS)
+
+
+def test_a_node_goes_to_one_bucket_of_each_table(spark):
+    """With as many buckets as millions of texts have, few bytes of each travel, and near copies still meet."""
+    n = 3_000_000
+    nodes = spark.createDataFrame(*signed(300, 9)).repartition(2)
+    before = written(spark)
+    found = {(max(r), min(r)) for r in simhash.candidates(nodes, n, simhash.tables(n)).collect()}
+    assert {(k + 1, k) for k in range(0, 300, 2)} <= found
+    assert written(spark) - before < 300 * 20_000
+
+
+def test_tables_of_millions_miss_as_few_as_they_say():
+    """As above, where some bits of a table have to be equal."""
+    r, n, places, equal, missed = np.random.default_rng(5), 2000, simhash.tables(3_000_000), simhash.equal_bits(3_000_000), 0
+    assert equal > 0
+    for _ in range(n):
+        x = r.integers(0, 1 << 63, 330, dtype=np.uint64)
+        d = np.unpackbits(np.frombuffer(simhash.signature_of(x[:297]), np.uint8) ^ np.frombuffer(simhash.signature_of(x[33:]), np.uint8))
+        missed += not any(not d[p[:equal]].any() and d[p[equal:]].sum() <= simhash.NEAR for p in places)
+    assert missed <= 2 * simhash.MISSED * n
+
+
+def test_stage_with_many_buckets(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    monkeypatch.setattr(simhash, "TABLE_ROWS", 40)
+    table = near_copies()
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in c.near_duplicates(spark, docs, "").collect()) == kept_of(table)
