@@ -4,7 +4,8 @@ Two fingerprints differ in at most RADIUS = 4 bits if and only if some 64-bit va
 both. So every distinct fingerprint emits its ball, all 2,081 values within 2 bits; equal values meet in one
 task; whoever meets is a pair. The values travel in groups: a linear code gives each value v a bucket H*v, and
 since H*(f^e) = H*f ^ H*e, a fingerprint sent to a bucket once (8 bytes) stands for all its values in that
-bucket, which the task writes out for itself. Equal values have equal buckets, so none misses another.
+bucket, which the task writes out for itself. Equal values have equal buckets, so none misses another. The
+code is the parity of each of m groups of bits, so that a ball's values are in 1 + m + m(m-1)/2 buckets only.
 """
 
 from __future__ import annotations
@@ -88,27 +89,47 @@ def syndrome(f: np.ndarray) -> np.ndarray:
     return s
 
 
+def bucket_of(f: np.ndarray, bits: int) -> np.ndarray:
+    """The buckets of values: bit k is the parity of every bits-th of the 64 bits, from k on."""
+    out = np.zeros(len(f), dtype=np.int64)
+    for k in range(bits):
+        out |= (np.bitwise_count(f & np.bitwise_or.reduce(_BITS[k::bits])) & 1).astype(np.int64) << k
+    return out
+
+
+def buckets_near(bits: int) -> np.ndarray:
+    """What to add to a fingerprint's own bucket for all the buckets of its ball's values."""
+    return np.unique(bucket_of(ERRORS, bits))
+
+
+def deal_out(f: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
+    """(bucket, fingerprints) for all buckets that hold a value of a fingerprint's ball."""
+    near = buckets_near(bits)
+    to, i = (bucket_of(f, bits)[:, None] ^ near[None, :]).ravel(), np.repeat(np.arange(len(f)), len(near))
+    order = np.argsort(to, kind="stable")
+    to, f = to[order], f[i[order]]
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])[: len(to)]).tolist()
+    return [(int(to[x]), f[x:y].tobytes()) for x, y in zip(cuts, [*cuts[1:], len(to)])]
+
+
 def meet(f: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The links among distinct fingerprints f that show in one bucket, as a spanning forest."""
-    share = len(ERRORS) / (1 << bits)
-    sub = max(0, int(np.ceil(np.log2(max(1.0, len(f) * share / AT_ONCE)))))
-    total = bits + sub
-    syn = syndrome(f) >> (32 - total)
-    order = np.argsort(syn, kind="stable")
-    f, syn = f[order], syn[order]
-    first = np.searchsorted(syn, np.arange((1 << total) + 1))
-    error = SYNDROMES >> (32 - total)
+    own, error = np.sort(bucket_of(f, bits)), bucket_of(ERRORS, bits)
+    many = int((np.searchsorted(own, (bucket ^ error) + 1) - np.searchsorted(own, bucket ^ error)).sum())
+    sub = math.ceil(math.log2(max(1.0, many / AT_ONCE)))
+    # within the bucket, values are told apart by bits of their syndromes
+    key = bucket_of(f, bits) << sub | syndrome(f) >> (32 - sub)
+    error = error << sub | SYNDROMES >> (32 - sub)
+    order = np.argsort(key, kind="stable")
+    f, key = f[order], key[order]
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(bucket << sub, (bucket + 1) << sub):
-        values, owner = [], []
-        for e, s in zip(ERRORS, error):
-            lo, hi = first[at ^ s], first[(at ^ s) + 1]
-            if lo < hi:
-                values.append(f[lo:hi] ^ e)
-                owner.append((lo, hi))
-        if not values:
+        low, high = np.searchsorted(key, at ^ error), np.searchsorted(key, (at ^ error) + 1)
+        some = np.flatnonzero(low < high)
+        owner = list(zip(low[some].tolist(), high[some].tolist()))
+        if not owner:
             continue
-        v = np.concatenate(values)
+        v = np.concatenate([f[lo:hi] ^ e for (lo, hi), e in zip(owner, ERRORS[some])])
         ranked = np.sort(v)
         again = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
         if not len(again):
@@ -135,24 +156,24 @@ def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     spark = ready(fps.sparkSession)
     fps = cut(fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct())
     n, bits = fps.count(), BUCKET_BITS
-    while n * min(1.0, len(ERRORS) / (1 << bits)) > BUCKET_ROWS and bits < 31:
+    while n * len(buckets_near(bits)) / (1 << bits) > BUCKET_ROWS and bits < 31:
         bits += 1
     schema = pa.schema([("bucket", pa.int64()), ("fps", pa.binary())])
 
     def deal(batches):
-        error = np.unique(SYNDROMES >> (32 - bits))
+        some, most = [], max(1, AT_ONCE // len(buckets_near(bits)))
+
+        def rows():
+            out = deal_out(np.concatenate(some), bits)
+            return pa.RecordBatch.from_pydict({"bucket": [r[0] for r in out], "fps": [r[1] for r in out]}, schema=schema)
+
         for batch in batches:
-            f = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = syndrome(f) >> (32 - bits)
-            if len(error) == 1 << bits:  # each fingerprint has values in each bucket
-                rows = [(b, f.tobytes()) for b in range(1 << bits)]
-            else:
-                to, i = (at[:, None] ^ error[None, :]).ravel(), np.repeat(np.arange(len(f)), len(error))
-                order = np.argsort(to, kind="stable")
-                to, i = to[order], i[order]
-                cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
-                rows = [(int(to[x]), f[i[x:y]].tobytes()) for x, y in zip(cuts, [*cuts[1:], len(to)])]
-            yield pa.RecordBatch.from_pydict({"bucket": [r[0] for r in rows], "fps": [r[1] for r in rows]}, schema=schema)
+            some.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            if sum(map(len, some)) >= most:
+                yield rows()
+                some.clear()
+        if some:
+            yield rows()
 
     def join(t: pa.Table) -> pa.Table:
         f = np.frombuffer(b"".join(t.column("fps").to_pylist()), dtype=np.uint64)

@@ -1,4 +1,5 @@
-"""The pipeline's near-duplicates stage against brute force over sets of five-word shingles."""
+"""The pipeline's near-duplicates stage against brute force over sets of five-word shingles, and how op3's
+fingerprints and the stage's nodes are dealt to buckets."""
 
 import itertools
 import random
@@ -146,3 +147,22 @@ def test_stage_with_many_buckets(spark, monkeypatch):
     table = near_copies()
     docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in c.near_duplicates(spark, docs, "").collect()) == kept_of(table)
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 1000])
+def test_few_bytes_of_a_fingerprint_travel(spark, monkeypatch, rows):
+    """With as many buckets as millions of fingerprints have (3 times what a bucket holds), and links as by brute force."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)
+    r = np.random.default_rng(10)
+    f = r.integers(0, 1 << 63, 1500, dtype=np.uint64) * np.uint64(2)
+    far = np.array([int(np.bitwise_or.reduce(np.uint64(1) << r.choice(64, 1 + k % 6, replace=False).astype(np.uint64))) for k in range(1500)], dtype=np.uint64)
+    f = np.unique(np.concatenate([f, f ^ far]))
+    fps = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long").repartition(2)
+    before = written(spark)
+    found = {(max(r), min(r)) for r in simhash.links(fps).collect()}
+    bytes_ = written(spark) - before
+    near = set()
+    for k in range(len(f)):
+        near |= {(max(x, y), min(x, y)) for y in f[k + 1 :][np.bitwise_count(f[k + 1 :] ^ f[k]) <= 4].view(np.int64).tolist() for x in [int(f[k].view(np.int64))]}
+    assert found == near and len(near) > 900  # pairs apart from each other: a forest has them all
+    assert bytes_ < len(f) * 1000
