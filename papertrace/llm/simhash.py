@@ -204,21 +204,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 #: Least Jaccard similarity of two texts' sets of shingles that makes a link, and the share of pairs at exactly that
 #: similarity that the tables may miss.
-SIMILAR, MISSED = 0.8, 0.01
+SIMILAR, MISSED = 0.8, 0.001
 #: Bits of a signature; a table takes so many of them as number the texts, and SPARE more; a pair may differ in
 #: NEAR of a table's bits.
-SIGNATURE, SPARE, NEAR = 256, 18, 4
-#: Nodes that a bucket of a table may hold (64 bytes each); where there are more, some bits of a table have to be equal
+SIGNATURE, SPARE, NEAR = 256, 10, 4
+#: Nodes that a bucket of a table may hold (88 bytes each); where there are more, some bits of a table have to be equal
 #: and tell the bucket, so that a node goes to one bucket of each table.
 TABLE_ROWS = 500_000
 #: Bits of a set's parities, and of the shorter ones that travel to the tables.
 PARITIES, SHORT = 1024, 256
-#: Tables that are looked at first; what they link needs no more pairs in the others.
+#: Tables that are looked at first; what they link needs no more pairs.
 FIRST = 2
 #: Standard deviations by which the signatures of a similar pair may differ in more bits than on average.
 DOUBT = 6.0
-#: The columns of a node's signature and parities, 64 bits each.
-WORDS = [f"sig{k}" for k in range(SIGNATURE // 64)] + [f"odd{k}" for k in range(PARITIES // 64)]
+#: The columns of a node's parities, 64 bits each.
+WORDS = [f"odd{k}" for k in range(PARITIES // 64)]
 _U = np.uint64
 _FACTORS, _WORDS = (np.random.default_rng(k).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1) for k in (20240301, 20240302))
 
@@ -289,43 +289,49 @@ def ball(width: int) -> tuple[np.ndarray, np.ndarray]:
     return ERRORS[own], SYNDROMES[own]
 
 
-def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int, root: np.ndarray | None = None, like=None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes whose fingerprints of `width` bits meet in one bucket of a table: each emits all values within
-    NEAR / 2 bits, and of those who share a value, in order of nodes, each is paired with the next two. So no node
-    stands for all others of a group, and nobody's pairs grow with it. Nodes of one root need no pair, nor do those
-    for whose places in `node` like(i, j) is false."""
-    root = node if root is None else root
+def shared_values(f: np.ndarray, width: int, bucket: int = 0, bits: int = 0):
+    """Each fingerprint of `width` bits emits all values within NEAR / 2 bits. Part by part of those in a bucket,
+    (places, values): the places in f that emit a value which another emits too, and that value."""
     error, shift = ball(width)
     sub = max(0, math.ceil(math.log2(max(1.0, len(f) * len(error) / (1 << bits) / AT_ONCE))))
     total = bits + sub
     shift = shift >> (32 - total)
     syn = syndrome(f) >> (32 - total)
     order = np.argsort(syn, kind="stable")
-    node, f, syn, root, place = node[order], f[order], syn[order], root[order], order
-    first = np.searchsorted(syn, np.arange((1 << total) + 1))
-    out: list[np.ndarray] = []
+    g, syn = f[order], syn[order]
     for at in range(bucket << sub, (bucket + 1) << sub):
-        spans = [(e, first[at ^ s], first[(at ^ s) + 1]) for e, s in zip(error, shift)]
-        spans = [x for x in spans if x[1] < x[2]]
+        low, high = np.searchsorted(syn, at ^ shift), np.searchsorted(syn, (at ^ shift) + 1)
+        some = np.flatnonzero(low < high)
+        spans = list(zip(low[some].tolist(), high[some].tolist()))
         if not spans:
             continue
-        v = np.concatenate([f[lo:hi] ^ e for e, lo, hi in spans])
+        v = np.concatenate([g[lo:hi] ^ e for (lo, hi), e in zip(spans, error[some])])
         ranked = np.sort(v)
         again = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
         if not len(again):
             continue
         k = np.minimum(np.searchsorted(again, v), len(again) - 1)
         hit = np.flatnonzero(again[k] == v)
-        at_, k = np.concatenate([np.arange(lo, hi) for _, lo, hi in spans])[hit], k[hit]
-        order = np.lexsort((node[at_], k))
-        at_, k = at_[order], k[order]
-        of = root[at_]
+        yield order[np.concatenate([np.arange(lo, hi) for lo, hi in spans])[hit]], v[hit]
+
+
+def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int, root: np.ndarray | None = None, like=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes whose fingerprints of `width` bits meet in one bucket of a table: of those who share a value, in
+    order of nodes, each is paired with the next two. Enough to join most of a group of near copies, without pairs that
+    grow with its square, but not all that meet: see crossings(). Nodes of one root need no pair, nor do those for whose
+    places in `node` like(i, j) is false."""
+    root = node if root is None else root
+    out: list[np.ndarray] = []
+    for at, v in shared_values(f, width, bucket, bits):
+        order = np.lexsort((node[at], v))
+        at, v = at[order], v[order]
+        of = root[at]
         for d in (1, 2):
-            same = (k[d:] == k[:-d]) & (of[d:] != of[:-d])
-            met = np.unique(at_[d:][same] * np.int64(len(f)) + at_[:-d][same])
+            same = (v[d:] == v[:-d]) & (of[d:] != of[:-d])
+            met = np.unique(at[d:][same] * np.int64(len(f)) + at[:-d][same])
             x, y = met // len(f), met % len(f)
             if like is not None:
-                own = like(place[x], place[y])
+                own = like(x, y)
                 x, y = x[own], y[own]
             out.append(np.stack([node[x], node[y]], axis=1))
         if sum(map(len, out)) > AT_ONCE:
@@ -334,59 +340,132 @@ def chains(node: np.ndarray, f: np.ndarray, width: int, bucket: int, bits: int,
     return pairs[:, 0], pairs[:, 1]
 
 
-def candidates(nodes: DataFrame, n: int, places: list[np.ndarray], similar: float = SIMILAR) -> DataFrame:
-    """(a, b): pairs of the n nodes (node, root, sig, size and the words of WORDS) that meet in a table, have
+def ranges(low: np.ndarray, high: np.ndarray):
+    """(i, j) for each j from low[i] to before high[i], in parts of AT_ONCE / 4 or one i."""
+    many, at = np.maximum(high - low, 0), 0
+    done = np.cumsum(many)
+    while at < len(many):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + AT_ONCE // 4, side="right")))
+        n = many[at:to]
+        yield np.repeat(np.arange(at, to), n), np.arange(n.sum()) + np.repeat(low[at:to] - np.cumsum(n) + n, n)
+        at = to
+
+
+def _ends(new: np.ndarray) -> np.ndarray:
+    """For each place the end of its run, where new[i] tells that place i + 1 begins another."""
+    ends = np.concatenate([np.flatnonzero(new) + 1, [len(new) + 1]])
+    return ends[np.searchsorted(ends, np.arange(len(new) + 1), side="right")]
+
+
+def crossings(node: np.ndarray, f: np.ndarray, width: int, root: np.ndarray, like=None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of nodes of different roots whose fingerprints of `width` bits differ in at most NEAR bits and for whose
+    places in `node` like(i, j) is true. Distinct fingerprints meet by values as in chains(), a pair of them at one of
+    the values that they share; where a value's fingerprints all have nodes of one root only, no pair is looked at."""
+    if not len(f):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    by = np.lexsort((root, f))
+    node, f, root = node[by], f[by], root[by]
+    start = np.concatenate([[0], np.flatnonzero(f[1:] != f[:-1]) + 1, [len(f)]])
+    own, low, high = f[start[:-1]], root[start[:-1]], root[start[1:] - 1]
+    # a fingerprint whose nodes have one root is of that; any other is of its own
+    _, rank = np.unique(low, return_inverse=True)
+    label = np.where(low == high, rank, len(own) + np.arange(len(own)))
+    out: list[np.ndarray] = []
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        if like is not None and len(i):
+            some = like(by[i], by[j])
+            i, j = i[some], j[some]
+        if len(i):
+            out.append(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], axis=1))
+
+    mixed = (low != high)[np.searchsorted(start, np.arange(len(f)), side="right") - 1]
+    for i, j in ranges(_ends((f[1:] != f[:-1]) | (root[1:] != root[:-1])), np.where(mixed, _ends(f[1:] != f[:-1]), 0)):
+        take(i, j)
+    for at, v in shared_values(own, width):
+        order = np.lexsort((label[at], v))
+        at, v = at[order], v[order]
+        new = v[1:] != v[:-1]
+        for i, j in ranges(_ends(new | (label[at[1:]] != label[at[:-1]])), _ends(new)):
+            x, y = at[i], at[j]
+            d = own[x] ^ own[y]
+            one = d & (~d + _U(1))
+            two = (d ^ one) & (~(d ^ one) + _U(1))
+            here = v[i] == np.minimum(own[x], own[y]) ^ np.where(np.bitwise_count(d) > NEAR // 2, one | two, _U(0))
+            x, y = x[here], y[here]
+            for p, a in ranges(start[x], start[x + 1]):
+                for q, b in ranges(start[y[p]], start[y[p] + 1]):
+                    take(a[q], b)
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
+    return pairs[:, 0], pairs[:, 1]
+
+
+def taken(sig: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The bits at `place` of each signature, the first as the lowest."""
+    out = np.zeros(len(sig), dtype=np.uint64)
+    for k, p in enumerate(place.tolist()):
+        out |= (sig[:, p >> 3] >> np.uint8(7 - (p & 7)) & 1).astype(np.uint64) << _U(k)
+    return out
+
+
+def candidates(nodes: DataFrame, n: int, places: list[np.ndarray], similar: float = SIMILAR, whole: bool = True) -> DataFrame:
+    """(a, b): pairs of the n nodes (node, root, sig, short, size and the words of WORDS) that meet in a table, have
     different roots, whose whole signatures differ in no more bits than those of a similar pair may, and whose
-    parities don't rule out that the sets are similar."""
+    parities and sizes don't rule out that the sets are similar: all of them, or but those of chains()."""
     spark, equal = ready(nodes.sparkSession), equal_bits(n)
     width = len(places[0]) - equal
-    schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("nodes", "roots", "fps", "sizes", "odds"))])
+    schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("nodes", "roots", "sigs", "sizes", "odds"))])
+    q, bound = differing(similar), (1 - similar) / (1 + similar)
+    most = int(SIGNATURE * q + DOUBT * math.sqrt(SIGNATURE * q * (1 - q)))
 
     def deal(batches):
-        weight, share = _BITS[:width], np.int64(1) << np.arange(equal, dtype=np.int64)
         for batch in batches:
             node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            sig = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(bool)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(node), -1)
             size = batch.column(3).to_numpy(zero_copy_only=False)
             odd = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(node), -1)
             rows = {name: [] for name in schema.names}
             for t, place in enumerate(places):
-                f = np.where(sig[:, place[equal:]], weight, _U(0)).sum(axis=1, dtype=np.uint64)
-                to = np.where(sig[:, place[:equal]], share, 0).sum(axis=1, dtype=np.int64)
+                to = taken(sig, place[:equal])
                 order = np.argsort(to, kind="stable")
-                for i in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                for i in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
                     rows["bucket"].append((t << equal) + int(to[i[0]]))
                     rows["nodes"].append(node[i].tobytes())
                     rows["roots"].append(root[i].tobytes())
-                    rows["fps"].append(f[i].tobytes())
+                    rows["sigs"].append(sig[i].tobytes())
                     rows["sizes"].append(size[i].tobytes())
                     rows["odds"].append(odd[i].tobytes())
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     def join(t: pa.Table) -> pa.Table:
-        node, root, f, size, odd = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("nodes", np.int64), ("roots", np.int64), ("fps", np.uint64), ("sizes", np.int64), ("odds", np.uint64)))
-        odd = odd.reshape(len(node), -1)
+        node, root, sig, size, odd = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("nodes", np.int64), ("roots", np.int64), ("sigs", np.uint8), ("sizes", np.int64), ("odds", np.uint64)))
+        sig, odd = sig.reshape(len(node), -1), odd.reshape(len(node), -1)
+        f, long = taken(sig, places[t.column("bucket")[0].as_py() >> equal][equal:]), sig.view(np.uint64)
 
         def like(i, j):
             ok = np.zeros(len(i), dtype=bool)
             for k in range(0, len(i), AT_ONCE // 8):
                 x, y = i[k : k + AT_ONCE // 8], j[k : k + AT_ONCE // 8]
-                ok[k : k + len(x)] = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1) <= (size[x] + size[y]) * ((1 - similar) / (1 + similar)) + 1e-6
+                unlike = (size[x] + size[y]) * bound + 1e-6
+                some = np.flatnonzero(np.abs(size[x] - size[y]) <= unlike)
+                x, y, unlike = x[some], y[some], unlike[some]
+                own = (np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1) <= unlike) & (np.bitwise_count(long[x] ^ long[y]).sum(axis=1) <= most)
+                ok[k + some[own]] = True
             return ok
 
-        a, b = chains(node, f, width, 0, 0, root, like)
+        a, b = crossings(node, f, width, root, like) if whole else chains(node, f, width, 0, 0, root, like)
         return pa.table({"a": a, "b": b})
 
     dealt = nodes.select("node", "root", "sig", "size", "short").mapInArrow(deal, ", ".join(f"{c} {'long' if c == 'bucket' else 'binary'}" for c in schema.names))
     parts = min(4096, max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(places) << equal))
     pairs = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
-    q = differing(similar)
-    most = int(SIGNATURE * q + DOUBT * math.sqrt(SIGNATURE * q * (1 - q)))
     side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(w).alias(f"{c}_{w}") for w in ("size", *WORDS)))
-    apart = lambda kind: reduce(add, (F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS if w.startswith(kind)))
+    apart = reduce(add, (F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS))
     # sets of sizes x and y with s in common differ in x + y - 2s hashes, and s >= similar * (x + y - s) bounds that
-    unlike = (F.col("a_size") + F.col("b_size")) * F.lit((1 - similar) / (1 + similar)) + F.lit(1e-6)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where((apart("sig") <= most) & (apart("odd") <= unlike)).select("a", "b")
+    unlike = (F.col("a_size") + F.col("b_size")) * F.lit(bound) + F.lit(1e-6)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= unlike).select("a", "b")
 
 
 def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
@@ -438,12 +517,12 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
-    # the first tables join most of a group of near copies; the others are asked for pairs across what is joined
+    # the first tables join most of a group of near copies; then all are asked for all pairs across what is joined
     n = nodes.count()
     places = tables(n, similar)
-    joined = cut(components(linked(cut(candidates(nodes, n, places[:FIRST], similar)))).select(F.col("vertex").alias("a"), F.col("root").alias("b")))
+    joined = cut(components(linked(cut(candidates(nodes, n, places[:FIRST], similar, whole=False)))).select(F.col("vertex").alias("a"), F.col("root").alias("b")))
     across = nodes.drop("root").join(joined.withColumnsRenamed({"a": "node", "b": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    links = joined.unionByName(linked(cut(candidates(cut(across), n, places[FIRST:], similar))))
+    links = joined.unionByName(linked(cut(candidates(cut(across), n, places, similar))))
     placed = rows.select("rid", "id", "node").join(components(links).withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("stays"))
     return rows.join(stay.select(F.col("stays.rid").alias("rid")), "rid", "left_semi").select("row.*")

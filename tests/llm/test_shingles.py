@@ -114,7 +114,7 @@ def signed(n, seed):
     for k in range(n):
         x = r.integers(0, 1 << 63, 200, dtype=np.uint64) if k % 2 == 0 else np.concatenate([x[:195], r.integers(0, 1 << 63, 5, dtype=np.uint64)])
         s = np.unique(x)
-        words = np.frombuffer(simhash.signature_of(s) + simhash.parities_of(s), ">i8").tolist()
+        words = np.frombuffer(simhash.signature_of(s) + simhash.parities_of(s), ">i8").tolist()[-len(simhash.WORDS) :]
         out.append((k, k, bytearray(simhash.signature_of(s)), bytearray(simhash.parities_of(s, simhash.SHORT)), len(s), *words))
     return out, "node long, root long, sig binary, short binary, size long, " + ", ".join(f"{w} long" for w in simhash.WORDS)
 
@@ -166,3 +166,31 @@ def test_few_bytes_of_a_fingerprint_travel(spark, monkeypatch, rows):
         near |= {(max(x, y), min(x, y)) for y in f[k + 1 :][np.bitwise_count(f[k + 1 :] ^ f[k]) <= 4].view(np.int64).tolist() for x in [int(f[k].view(np.int64))]}
     assert found == near and len(near) > 900  # pairs apart from each other: a forest has them all
     assert bytes_ < len(f) * 1000
+
+
+@pytest.mark.parametrize("spread", [4, 9])
+def test_crossings_are_all_pairs_of_different_roots(spread):
+    """Dense groups of fingerprints, equal ones too: no partner is left out for the group's size."""
+    r = np.random.default_rng(spread)
+    centre = r.integers(0, 1 << 30, 12, dtype=np.uint64)
+    f = np.concatenate([centre[k % 12] ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, spread, 2, dtype=np.uint64))[None] for k in range(500)])
+    node, root = r.permutation(len(f)).astype(np.int64), r.integers(0, 400, len(f))
+    a, b = simhash.crossings(node, f, 30, root)
+    near = {(max(p, q), min(p, q)) for (p, x, s), (q, y, u) in itertools.combinations(zip(node.tolist(), f.tolist(), root.tolist()), 2) if s != u and (x ^ y).bit_count() <= simhash.NEAR}
+    assert set(zip(a.tolist(), b.tolist())) == near and len(a) == len(near)
+    odd = simhash.crossings(node, f, 30, root, lambda i, j: (node[i] + node[j]) % 2 == 1)
+    assert set(zip(*(c.tolist() for c in odd))) == {(p, q) for p, q in near if (p + q) % 2}
+
+
+def test_stage_finds_a_partner_among_many(spark, monkeypatch):
+    """Texts of a dense group, all of whose fingerprints meet, of which few are similar: each meets all others, not the
+    next two in order only."""
+    import corpus_pipeline as c
+
+    monkeypatch.setattr(simhash, "signature_of", lambda s: bytes(simhash.SIGNATURE // 8))
+    monkeypatch.setattr(simhash, "parities_of", lambda s, many=simhash.PARITIES: bytes(many // 8))
+    r = random.Random(11)
+    texts = [[f"w{r.randrange(10**6)}" for _ in range(40)] for _ in range(60)]
+    table = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(100 + k, " ".join([*t, "more"])) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in c.near_duplicates(spark, docs, "").collect()) == list(range(60))
