@@ -2,15 +2,18 @@
 
 Each shard's graph is built once, stored in the shared folder, and queried by all vectors of its label, in
 blocks. Queries of a block walk the graph in step, so that each step is a few NumPy calls for hundreds of
-them. A beam is widened while it holds links only (there may be more behind them), at last to the whole shard;
-and a block's beams are widened until an audit against brute force finds the recall asked for. Equal vectors
-are one node and one query; those links are exact and take no part in the audit, which draws queries until
-AUDIT of them have true links, and weighs each of these alike. Links are verified by cosine in double
-precision. What leaves a task is a count per query and a spanning forest.
+them. Where a beam holds links only there may be more behind it: the graph is followed on through the nodes that
+link, so that a group of near copies costs its links, not wider and wider beams. A block's beams are widened until
+an audit against brute force finds the recall asked for. Equal vectors are one node and one query; those links are
+exact and take no part in the audit, which draws queries until AUDIT of them have true links, and weighs each of
+these alike. Links are verified by cosine in double precision. What leaves a task is a count per query and a
+spanning forest.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,32 @@ DEGREE, BUILD_BEAM, BEAM = 12, 48, 32
 AUDIT, RECALL, STEP = 64, 0.995, 256
 
 
+#: Numbers of vectors that are gathered at once.
+PIECE = 65_536
+#: A key of no node: below all others, nothing to expand.
+NONE = np.iinfo(np.int64).min
+
+
+def dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """x[i] * y[j] by rows, summed; a piece at a time, as large arrays cost more to allocate than to fill."""
+    out, piece = np.empty(len(i), dtype=x.dtype), max(1, PIECE // x.shape[1])
+    for k in range(0, len(i), piece):
+        out[k : k + piece] = np.einsum("rd,rd->r", x[i[k : k + piece]], y[j[k : k + piece]])
+    return out
+
+
+def packed(sims: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Keys of nodes to be expanded, that sort as their similarities do."""
+    s = sims.astype(np.float32).view(np.int32)
+    return ((s ^ (s >> 31 & 0x7FFFFFFF)).astype(np.int64) << 32) + (nodes << 1) + 1
+
+
+def unpacked(keys: np.ndarray) -> np.ndarray:
+    """The similarities of keys."""
+    s = (keys >> 32).astype(np.int32)
+    return (s ^ (s >> 31 & 0x7FFFFFFF)).view(np.float32)
+
+
 class Graph:
     """A navigable small-world graph over unit vectors, in arrays: near[layer][node] are neighbours or -1."""
 
@@ -51,19 +80,23 @@ class Graph:
             new = np.arange(done, min(n, done + max(1, min(STEP, done // 2))))
             at = np.full((len(new), 1), self.entry, dtype=np.int64)
             for layer in range(top, -1, -1):
-                ids, sims = self.walk(self.x[new], at, layer, BUILD_BEAM)
-                own = np.flatnonzero(level[new] >= layer)
+                own, passing = np.flatnonzero(level[new] >= layer), np.flatnonzero(level[new] < layer)
+                to = np.full((len(new), 4), -1, dtype=np.int64)
+                if len(passing):
+                    to[passing] = self.walk(self.x[new[passing]], at[passing], layer, 4)[0]
                 if len(own):
+                    ids, sims = self.walk(self.x[new[own]], at[own], layer, BUILD_BEAM)
+                    to[own] = ids[:, :4]
                     peers = new[own]  # what is put in at once may be linked as well
                     k = min(8, len(peers))
                     s = self.x[peers] @ self.x[peers].T
                     np.fill_diagonal(s, -np.inf)
                     best = np.argpartition(-s, k - 1, axis=1)[:, :k]
                     s = np.take_along_axis(s, best, axis=1)
-                    c_ids = np.concatenate([ids[own], np.where(np.isfinite(s), peers[best], -1)], axis=1)
-                    c_sims = np.concatenate([sims[own], s], axis=1)
+                    c_ids = np.concatenate([ids, np.where(np.isfinite(s), peers[best], -1)], axis=1)
+                    c_sims = np.concatenate([sims, s], axis=1)
                     self._link(peers, *self._choose(c_ids, c_sims, self.near[layer].shape[1]), layer)
-                at = ids[:, : min(4, ids.shape[1])]
+                at = to
             if (high := int(level[new].max())) > top:
                 top, self.entry = high, int(new[np.argmax(level[new])])
             done = int(new[-1]) + 1
@@ -73,12 +106,20 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         rows, width = ids.shape
-        v = self.x[np.maximum(ids, 0)]
-        between = v @ v.transpose(0, 2, 1)
+        nearer = np.empty((rows, width, -(-width // 64)), dtype=np.uint64)  # a bit for each that is nearer to a candidate than the row
+        piece = max(1, PIECE // (width * max(width, self.x.shape[1])))
+        for k in range(0, rows, piece):
+            v = self.x[np.maximum(ids[k : k + piece], 0)]
+            some = np.zeros((len(v), width, 64 * nearer.shape[2]), dtype=bool)
+            np.greater(v @ v.transpose(0, 2, 1), sims[k : k + piece, :, None], out=some[:, :, :width])
+            nearer[k : k + piece] = np.packbits(some, axis=2, bitorder="little").view(np.uint64)
+        bits, many = np.zeros((rows, nearer.shape[2]), dtype=np.uint64), np.zeros(rows, dtype=np.int64)
         chosen, valid = np.zeros((rows, width), dtype=bool), ids >= 0
         for c in range(width):
-            close = ((between[:, c, :] > sims[:, c, None]) & chosen).any(axis=1)
-            chosen[:, c] = valid[:, c] & ~close & (chosen.sum(axis=1) < most)
+            take = valid[:, c] & (many < most) & ~(nearer[:, c] & bits).any(axis=1)
+            chosen[:, c] = take
+            bits[:, c // 64] |= take.astype(np.uint64) << np.uint64(c % 64)
+            many += take
         rank = np.where(chosen, 0, np.where(valid, 1, 2)) * width + np.arange(width)
         order = np.argsort(rank, axis=1)[:, :most]
         ids, sims = np.take_along_axis(np.where(valid, ids, -1), order, 1), np.take_along_axis(sims, order, 1)
@@ -95,55 +136,53 @@ class Graph:
         order = np.argsort(b, kind="stable")
         a, b = a[order], b[order]
         to, first, many = np.unique(b, return_index=True, return_counts=True)
-        fresh = np.full((len(to), int(many.max(initial=1))), -1, dtype=np.int64)
-        fresh[np.repeat(np.arange(len(to)), many), np.arange(len(b)) - np.repeat(first, many)] = a
+        by = np.argsort(-many, kind="stable")  # rows of about the same width together
+        to, first, many = to[by], first[by], many[by]
         for k in range(0, len(to), STEP):
-            t = to[k : k + STEP]
-            c = np.concatenate([near[t].astype(np.int64), fresh[k : k + STEP]], axis=1)
+            t, m = to[k : k + STEP], many[k : k + STEP]
+            fresh = first[k : k + STEP, None] + np.arange(m[0])
+            fresh = np.where(np.arange(m[0]) < m[:, None], a[np.minimum(fresh, len(a) - 1)], -1)
+            c = np.concatenate([near[t].astype(np.int64), fresh], axis=1)
             c = -np.sort(-c, axis=1)
             c[:, 1:][c[:, 1:] == c[:, :-1]] = -1
-            s = np.where(c >= 0, np.einsum("rcd,rd->rc", self.x[np.maximum(c, 0)], self.x[t]), -np.inf)
+            s = dots(self.x, np.maximum(c, 0).ravel(), self.x, np.repeat(t, c.shape[1])).reshape(c.shape)
+            s = np.where(c >= 0, s, np.float32(-np.inf))
             near[t] = self._choose(c, s, near.shape[1])[0]
 
     def walk(self, q: np.ndarray, at: np.ndarray, layer: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best `beam` nodes met for each query from its entries `at`, best first; -1 fills up."""
-        rows, near = np.arange(len(q)), self.near[layer]
-        seen = np.zeros((len(q), len(self.x)), dtype=bool)
-        ids = np.full((len(q), max(beam, at.shape[1])), -1, dtype=np.int64)
-        sims, open_ = np.full(ids.shape, -np.inf, dtype=np.float32), np.zeros(ids.shape, dtype=bool)
-        for k in range(at.shape[1]):
-            a = at[:, k]
-            ok = (a >= 0) & ~seen[rows, np.maximum(a, 0)]
-            seen[rows[ok], a[ok]] = True
-            ids[ok, k], open_[ok, k] = a[ok], True
-            sims[ok, k] = np.einsum("rd,rd->r", self.x[a[ok]], q[ok])
-        live, wide = rows, 4
-        while len(live):
-            best = np.argpartition(-np.where(open_[live], sims[live], -np.inf), min(wide, ids.shape[1]) - 1, axis=1)[:, :wide]
-            go = np.take_along_axis(open_[live], best, 1)
-            keep = go.any(axis=1)
-            live, best, go = live[keep], best[keep], go[keep]
+        """The best `beam` nodes met for each query from its entries `at`, best first; -1 fills up.
+
+        A beam is a sorted row of keys: similarity, node and, in the last bit, whether the node is still to be expanded."""
+        n, near, width = len(self.x), self.near[layer], max(beam, at.shape[1])
+        keys, seen = np.full((len(q), width), NONE, dtype=np.int64), np.zeros(len(q) * n, dtype=bool)
+        live, met = np.arange(len(q)), (np.arange(len(q))[:, None] * n + at)[at >= 0]
+        while True:
+            met = np.sort(met[~seen[met]])
+            met = met[np.diff(met, prepend=-1) != 0]
+            seen[met] = True
+            row, node = np.divmod(met, n)
+            new = packed(dots(self.x, node, q, row), node)
+            better = new > keys[row, 0]
+            row, new = row[better], new[better]
+            if len(row):
+                rows, first, many = np.unique(row, return_index=True, return_counts=True)
+                merged = np.full((len(rows), width + int(many.max())), NONE, dtype=np.int64)
+                merged[:, :width] = keys[rows]
+                merged[np.repeat(np.arange(len(rows)), many), width + np.arange(len(row)) - np.repeat(first, many)] = new
+                merged.sort(axis=1)
+                keys[rows] = merged[:, -width:]
+            open_ = (keys[live, ::-1] & 1).astype(bool)
+            some = open_.any(axis=1)
+            live, open_ = live[some], open_[some]
             if not len(live):
                 break
-            parts_i, parts_s = [ids[live]], [sims[live]]
-            open_[live[:, None], best] = False
-            parts_o = [open_[live]]
-            for k in range(best.shape[1]):
-                node = ids[live, best[:, k]]
-                nb = np.where((go[:, k] & (node >= 0))[:, None], near[np.maximum(node, 0)], -1).astype(np.int64)
-                ok = (nb >= 0) & ~seen[live[:, None], np.maximum(nb, 0)]
-                r, c = np.nonzero(ok)
-                seen[live[r], nb[r, c]] = True
-                s = np.full(nb.shape, -np.inf, dtype=np.float32)
-                s[r, c] = np.einsum("rd,rd->r", self.x[nb[r, c]], q[live[r]])
-                parts_i.append(np.where(ok, nb, -1))
-                parts_s.append(s)
-                parts_o.append(ok)
-            i, s, o = (np.concatenate(p, axis=1) for p in (parts_i, parts_s, parts_o))
-            top = np.argpartition(-s, ids.shape[1] - 1, axis=1)[:, : ids.shape[1]]
-            ids[live], sims[live], open_[live] = (np.take_along_axis(z, top, 1) for z in (i, s, o))
-        order = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1)[:, :beam], np.take_along_axis(sims, order, 1)[:, :beam]
+            r, c = np.nonzero(open_ & (np.cumsum(open_, axis=1) <= 4))
+            r, c = live[r], width - 1 - c
+            near_by = near[keys[r, c] >> 1 & 0x7FFFFFFF]
+            keys[r, c] -= 1
+            met = (r[:, None] * n + near_by)[near_by >= 0]
+        keys = keys[:, ::-1][:, :beam]
+        return np.where(keys == NONE, -1, keys >> 1 & 0x7FFFFFFF), np.where(keys == NONE, np.float32(-np.inf), unpacked(keys))
 
     def query(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.full((len(q), 1), self.entry, dtype=np.int64)
@@ -152,24 +191,51 @@ class Graph:
         return self.walk(q, at, 0, beam)
 
     def links(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs whose similarity is about `least` or more. While a beam holds nothing else it
-        is widened, at last to all nodes."""
-        out_q, out_n, left, n = [], [], np.arange(len(q)), len(self.x)
+        """(query, node) pairs whose similarity is about `least` or more. Behind a beam that holds nothing else the
+        graph is followed through all nodes that link. A beam of a quarter of the nodes is all of them."""
         near = least - 1e-4
-        while len(left):
-            if 4 * beam >= n:
-                r, c = np.nonzero(q[left] @ self.x.T >= near)
-                out_q.append(left[r])
-                out_n.append(c)
-                break
-            ids, sims = self.query(q[left], beam)
-            full = (sims[:, -1] >= near) & (ids[:, -1] >= 0)
-            r, c = np.nonzero((sims >= near) & (ids >= 0) & ~full[:, None])
-            out_q.append(left[r])
-            out_n.append(ids[r, c])
-            left, beam = left[full], 4 * beam
+        if 4 * beam >= len(self.x):
+            return np.nonzero(q @ self.x.T >= near)
+        ids, sims = self.query(q, beam)
+        full = (sims[:, -1] >= near) & (ids[:, -1] >= 0)
+        r, c = np.nonzero((sims >= near) & (ids >= 0) & ~full[:, None])
+        out_q, out_n = [r], [ids[r, c]]
+        full = np.flatnonzero(full)
+        for k in range(0, len(full), STEP):
+            some = full[k : k + STEP]
+            a, b = self.flood(q[some], ids[some], near)
+            out_q.append(some[a])
+            out_n.append(b)
         return np.concatenate(out_q), np.concatenate(out_n)
 
+    def flood(self, q: np.ndarray, at: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs of at least the similarity `near` among the nodes `at`, and the nodes reached from there
+        through nodes that have such pairs, along the lowest layer's edges in both directions. The queries go together:
+        what one of them reaches is compared with all, once."""
+        out_q, out_n, new = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.unique(at[at >= 0])
+        met = np.zeros(len(self.x), dtype=bool)
+        while len(new):
+            met[new] = True
+            r, c = np.nonzero(q @ self.x[new].T >= near)
+            out_q.append(r)
+            out_n.append(new[c])
+            go = new[np.unique(c)]
+            reached = np.zeros(len(self.x), dtype=bool)
+            to = self.near[0][go]
+            reached[to[to >= 0]] = True
+            start, end = self.into[1][go], self.into[1][go + 1]
+            each = np.repeat(start - np.cumsum(end - start) + end - start, end - start)
+            reached[self.into[0][each + np.arange(len(each))]] = True
+            new = np.flatnonzero(reached & ~met)
+        return np.concatenate(out_q), np.concatenate(out_n)
+
+    @cached_property
+    def into(self) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes with an edge to each node on the lowest layer, node by node, and where each node's begin."""
+        a, b = np.nonzero(self.near[0] >= 0)
+        to = self.near[0][a, b]
+        return a[np.argsort(to, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(to, minlength=len(self.x)))])
+
     def to_bytes(self) -> bytes:
         return b"".join([np.array([len(self.near), self.entry, len(self.x)], np.int64).tobytes(), *(a.tobytes() for a in self.near)])
 
@@ -285,7 +351,7 @@ def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
             def take(a: np.ndarray, b: np.ndarray) -> None:
                 for m in range(0, len(a), 1 << 18):
                     i, j = a[m : m + (1 << 18)], b[m : m + (1 << 18)]
-                    ok = np.einsum("rd,rd->r", q[i], x[j]) >= least
+                    ok = dots(q, i, x, j) >= least
                     i, j = i[ok], j[ok]
                     n[:] += np.bincount(i, weights=copies[j], minlength=len(q)).astype(np.int64)
                     i, j = asker[i], lead[j]

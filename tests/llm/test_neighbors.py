@@ -70,3 +70,23 @@ def test_many_shards_and_blocks(spark, tmp_path):
     audits = spark.read.parquet(str(tmp_path / "m")).collect()
     assert len({(a.shard, a.block) for a in audits}) == len(audits) == 4 * 4
     assert all(a.recall >= neighbors.RECALL for a in audits) and sum(a.asked for a in audits) > 300
+
+
+def test_groups_of_near_copies_are_followed_not_asked_again():
+    """400 and 60 near copies, all linked, among 4,000 vectors: every link, with the first beam asked once. Wider beams
+    over the whole graph took most of the time, and as the square of a group's size."""
+    r = np.random.default_rng(13)
+    some = unit(r.normal(size=(4000, 32)))
+    x = unit(np.concatenate([some, some[:1] + r.normal(size=(400, 32)) * 0.01, some[1:2] + r.normal(size=(60, 32)) * 0.01])).astype(np.float32)
+    x = x[r.permutation(len(x))]
+    beams = []
+
+    class Told(neighbors.Graph):
+        def query(self, q, beam):
+            beams.append((len(q), beam))
+            return super().query(q, beam)
+
+    a, b = Told(x).links(x, 0.98, neighbors.BEAM)
+    want = np.nonzero(x @ x.T >= 0.98 - 1e-4)
+    assert len(want[0]) > 150_000 and sorted(zip(a.tolist(), b.tolist())) == list(zip(*(w.tolist() for w in want)))
+    assert beams == [(len(x), neighbors.BEAM)]
