@@ -141,14 +141,15 @@ def stays_in_alphabet(printed: str | Column, got: str | Column) -> Column:
 def num(col: str | Column) -> Column:
     """A printed figure as a double, null where it is none. Parentheses that wrap a figure make it negative;
     letters make it no figure; other marks are dropped."""
-    whole = r"(?U)\A\(\s*\$?\s*[\d,. ]*\d[\d,. ]*\s*\)\z"
+    whole, c = r"(?U)\A\(\s*\$?\s*[\d,. ]*\d[\d,. ]*\s*\)\z", _c(col)
 
     def parse(t: Column) -> Column:
         body = F.when(t.rlike(whole), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
         v = F.regexp_replace(body, r"(?U)[^\d.\-]", "").try_cast("double")
         return F.when(body.rlike("[A-Za-z]"), None).when(t.rlike(whole), -F.abs(v)).otherwise(v)
 
-    return bind(strip(col), parse)
+    # most are plain already, and need none of the steps
+    return F.when(c.rlike(r"\A-?[0-9]+(?:\.[0-9]+)?\z"), c.try_cast("double")).otherwise(bind(strip(c), parse))
 
 
 def html_rows(col: str | Column) -> Column:
