@@ -55,12 +55,12 @@ def _item_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     gross, off = _cents("l_extendedprice"), F.round(F.col("l_extendedprice") * F.col("l_discount") * 100).cast("long")
     net = gross - off + F.when(F.col("l_partkey") % 11 == 0, 1).otherwise(0)
     cell = lambda n, v: F.struct(F.lit(n).alias("key"), v.cast("string").alias("value"))
-    cells = F.filter(F.array(cell("gross", gross), F.when(F.col("l_linenumber") != 3, cell("off", off)), cell("net", net)), lambda e: e.isNotNull())
-    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cells.alias("cells"))
-    rows = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "cells"))).alias("r"))
+    cells = lambda r: F.filter(F.array(cell("gross", r["gross"]), F.when(r["l_linenumber"] != 3, cell("off", r["off"])), cell("net", r["net"])), lambda e: e.isNotNull())
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", gross.alias("gross"), off.alias("off"), net.alias("net"))
+    rows = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "gross", "off", "net"))).alias("r"))
     name = lambda r: r["l_linenumber"].cast("string")
     declared = F.from_json(F.lit('{"sums":[],"row_rules":[{"name":"net","cells":["gross","off","net"]},{"name":"parts","of":["net","off"],"equals":"gross","tolerance":0.5}]}'), "sums array<struct<name:string,of:array<string>,minus:array<string>,equals:string,tolerance:double>>,row_rules array<struct<name:string,of:array<string>,equals:string,cells:array<string>,tolerance:double>>")
-    return rows.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(None).cast("map<string,string>").alias("printed"), F.transform("r", lambda r: F.struct(name(r).alias("key"), F.concat(F.lit("line "), name(r)).alias("anchor"), F.map_from_entries(r["cells"]).alias("cells"))).alias("rows"), declared.alias("reconciliation"))
+    return rows.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(None).cast("map<string,string>").alias("printed"), F.transform("r", lambda r: F.struct(name(r).alias("key"), F.concat(F.lit("line "), name(r)).alias("anchor"), F.map_from_entries(cells(r)).alias("cells"))).alias("rows"), declared.alias("reconciliation"))
 
 
 def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
