@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 #: A figure that parentheses wrap wholly: the accountant's minus sign.
 NEGATIVE = r"(?U)\A\(\s*\$?\s*([\d,. ]*\d[\d,. ]*)\s*\)\z"
 #: What counts as numeric for regrouped digits and for the family of look-alikes.
@@ -41,7 +42,17 @@ def unicode_fold(a: pa.Array) -> pa.Array:
         s = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", html.unescape(s)))
         return "".join(ch for ch in s if not unicodedata.combining(ch))
 
-    return pa.array([one(x.as_py()) for x in a], pa.string())
+    # few texts at a time are Python's; the rest lie in Arrow's memory
+    return pa.concat_arrays([pa.array([one(x.as_py()) for x in a[i : i + 64]], pa.string()) for i in range(0, max(len(a), 1), 64)])
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Let no Python worker be handed more than BATCH_ROWS rows or BATCH_BYTES at once: texts may be long."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not now or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return spark
 
 
 def strip(col: str | Column) -> Column:
@@ -75,7 +86,9 @@ def fold_layout(col: str | Column) -> Column:
 
 def fold(col: str | Column) -> Column:
     """Text without the marks of whoever wrote it down."""
-    return fold_layout(unicode_fold(_c(col)))
+    c = _c(col)
+    # plain text is left out of what Python is handed
+    return fold_layout(F.coalesce(unicode_fold(F.when(c.rlike("[^\\x00-\\x7f]|&"), c)), c))
 
 
 def lines(folded: str | Column) -> Column:

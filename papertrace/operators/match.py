@@ -194,6 +194,7 @@ def pages(texts: DataFrame, prose_parens: bool = False) -> DataFrame:
         ends = F.aggregate(toks, F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.size(t))))
         return T.bind(F.flatten(toks), lambda flat: F.struct(lines.alias("lines"), flat.alias("toks"), ends.alias("off"), scope(lows, flat).alias("scope")))
 
+    T.bounded(texts.sparkSession)
     return texts.withColumn("page", T.bind(T.lines(T.fold("text")), of_lines)).drop("text")
 
 

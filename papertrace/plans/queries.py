@@ -208,7 +208,7 @@ def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in folded form, by lines; the folding's Unicode step has no SQL form."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", T.lines(T.fold(F.coalesce("text", F.lit("")))).alias("l"))
+    d = _table(T.bounded(spark), sf_dir, "documents").select("doc_id", T.lines(T.fold(F.coalesce("text", F.lit("")))).alias("l"))
     return d.select("doc_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 
 
